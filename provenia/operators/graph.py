@@ -156,3 +156,60 @@ def T_fingerprint(subject: str) -> str:
 
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def relations_of(relations: DataFrame, ids: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    """Edges with one of ``ids`` (node_id) at either end: two equi-joins, never an OR join."""
+    edges = relations if types is None else relations.filter(F.col("relation_type").isin(*types))
+    own = edges.join(ids.toDF("source_id"), "source_id", "left_semi").select(*edges.columns)
+    return own.unionByName(edges.join(ids.toDF("target_id"), "target_id", "left_semi").select(*edges.columns)).distinct()
+
+
+def causal_clauses(claims: DataFrame, markers: tuple[str, ...]) -> DataFrame:
+    """(node_id, side, text): what stands after (cause) and before (effect) the first causal marker of the evidence."""
+    pattern = "(?i) (?:" + "|".join(markers) + ") "
+    parts = F.split(F.col("evidence"), pattern, 2)
+    both = claims.filter(F.col("evidence").rlike(pattern)).select("node_id", F.posexplode(parts).alias("side", "text"))
+    return both.select("node_id", F.when(F.col("side") == 0, "effect").otherwise("cause").alias("side"), "text")
+
+
+def causal_edges(claims: DataFrame, existing: DataFrame, markers: tuple[str, ...], least: float = 0.5, kind: str = "causes") -> DataFrame:
+    """Edges from the claim that best matches the cause clause to the one that best matches the effect clause.
+
+    ``causes`` leaves out directed edges that exist; ``motivates`` those of any type in either direction.
+    """
+    clauses = causal_clauses(claims, markers).withColumn("clause_id", F.concat_ws("/", "node_id", "side"))
+    hit = best_match(clauses, claims, least).withColumnRenamed("node_id", "match")
+    sided = clauses.join(hit, "clause_id")
+    cause, effect = sided.filter("side = 'cause'").select("node_id", F.col("match").alias("source_id")), sided.filter("side = 'effect'").select("node_id", F.col("match").alias("target_id"))
+    new = cause.join(effect, "node_id").filter("source_id != target_id").select("source_id", "target_id").distinct()
+    if kind == "causes":
+        known = existing.filter("relation_type = 'causes'").select("source_id", "target_id")
+    else:
+        known = existing.select("source_id", "target_id").unionByName(existing.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
+    return new.join(known, ["source_id", "target_id"], "left_anti").withColumn("relation_type", F.lit(kind))
+
+
+def relation_ids(edges: DataFrame) -> DataFrame:
+    """Edges with an id that depends on their type and ends alone: retries agree."""
+    return edges.withColumn("relation_id", F.concat(F.lit("rel_"), F.substring(F.sha2(F.concat_ws("|", "relation_type", "source_id", "target_id"), 256), 1, 16)))
+
+
+def dispute(claims: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims after DISPUTE pairs (old_id, new_id): both disputed; and their symmetric ``contradicts`` edges."""
+    both = pairs.select(F.explode(F.array("old_id", "new_id")).alias("node_id")).distinct().withColumn("__d", F.lit(True))
+    out = claims.join(both, "node_id", "left").withColumn("memory_state", F.when(F.col("__d"), "disputed").otherwise(F.col("memory_state"))).drop("__d")
+    edges = pairs.select(F.col("new_id").alias("source_id"), F.col("old_id").alias("target_id")).unionByName(pairs.select(F.col("old_id").alias("source_id"), F.col("new_id").alias("target_id")))
+    return out, edges.distinct().withColumn("relation_type", F.lit("contradicts"))
+
+
+def backfill_derivation(nodes: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """derived_from edges of old reflections and summaries, from supports and supersedes; and those that cannot be recovered."""
+    derived = nodes.filter(F.col("node_type").isin("reflection", "summary")).select("node_id", "node_type")
+    supports = relations.filter("relation_type = 'supports'").select(F.col("target_id").alias("node_id"), F.col("source_id").alias("origin"))
+    supersedes = relations.filter("relation_type = 'supersedes'").select(F.col("source_id").alias("node_id"), F.col("target_id").alias("origin")).join(derived.filter("node_type = 'summary'").select("node_id"), "node_id", "left_semi")
+    found = derived.select("node_id").join(supports.unionByName(supersedes), "node_id").distinct()
+    known = relations.filter("relation_type = 'derived_from'").select(F.col("source_id").alias("node_id"), F.col("target_id").alias("origin"))
+    new = found.join(known, ["node_id", "origin"], "left_anti").select(F.col("node_id").alias("source_id"), F.col("origin").alias("target_id"), F.lit("derived_from").alias("relation_type"))
+    lost = derived.select("node_id").join(found.unionByName(known).select("node_id"), "node_id", "left_anti")
+    return new, lost

@@ -90,11 +90,16 @@ def reflect_groups(claims: DataFrame, least: int = 3) -> DataFrame:
     return each.groupBy("domain").agg(F.count("*").alias("members"), F.min("node_id").alias("first_member")).filter(F.col("members") >= least)
 
 
+def faded(claims: DataFrame, frozen: DataFrame, significant: DataFrame) -> DataFrame:
+    """Active claims that have cooled down and are neither frozen, significant nor inferred."""
+    out = claims.filter((F.col("memory_state") == "active") & ~F.col("node_type").isin("inference", "reflection") & (F.col("r") < WARM))
+    return out.join(frozen, "node_id", "left_anti").join(significant, "node_id", "left_anti")
+
+
 def compress_groups(claims: DataFrame, frozen: DataFrame, significant: DataFrame, least: int = 3) -> DataFrame:
     """Domains with ``least`` or more faded claims that are neither frozen nor significant."""
-    faded = claims.filter((F.col("memory_state") == "active") & ~F.col("node_type").isin("inference", "reflection") & (F.col("r") < WARM))
-    faded = faded.join(frozen, "node_id", "left_anti").join(significant, "node_id", "left_anti")
-    return faded.select("node_id", F.explode("domains").alias("domain")).groupBy("domain").agg(F.count("*").alias("members"), F.min("node_id").alias("first_member")).filter(F.col("members") >= least)
+    each = faded(claims, frozen, significant).select("node_id", F.explode("domains").alias("domain"))
+    return each.groupBy("domain").agg(F.count("*").alias("members"), F.min("node_id").alias("first_member")).filter(F.col("members") >= least)
 
 
 def freeze(claims: DataFrame, most: int = 8, least: float = 0.4) -> DataFrame:

@@ -144,3 +144,57 @@ def gate(questions: DataFrame, claims: DataFrame, claim_entity: DataFrame, quest
         .otherwise("unknown_predicate")
     )
     return out.withColumn("reason", reason).withColumn("abstain", F.col("reason") != "answerable").select("question_id", "wh", "head", "status", "abstain", "reason")
+
+
+def predicates_about(claims: DataFrame, claim_entity: DataFrame, names: DataFrame, k: int = 8) -> DataFrame:
+    """The k most frequent content words of each entity's claims, its own name left out; ties by word."""
+    words = claims.select("node_id", F.explode(F.array_distinct(T.gate_tokens(F.col("normalized")))).alias("token")).filter(~F.col("token").isin(*V.FUNCTION_WORDS) & (F.length("token") >= 3))
+    own = names.select("entity_id", F.explode(F.array_distinct(T.gate_tokens(F.col("canonical_name")))).alias("token"))
+    counted = claim_entity.select("node_id", "entity_id").distinct().join(words, "node_id").join(own, ["entity_id", "token"], "left_anti").groupBy("entity_id", "token").agg(F.count("*").alias("claims"))
+    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("claims"), "token"))
+    return counted.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def some_entities(entities: DataFrame, n: int = 5) -> DataFrame:
+    """A few known names, for the redirect of an unknown subject."""
+    return entities.select("canonical_name").distinct().orderBy("canonical_name").limit(n)
+
+
+def simple_score(questions: DataFrame, claims: DataFrame, k: int = 10, least_r: float = 0.0) -> DataFrame:
+    """The plain scorer: 0.4 Jaccard of words + 0.3 Jaccard of domains + 0.3 reinforcement, over claims that share a word."""
+    q = questions.select("question_id", T.scoring_tokens(F.col("question")).alias("qt"), T.domains(F.col("question")).alias("qd"))
+    c = claims.filter(F.col("r") >= least_r).select("node_id", "r", T.scoring_tokens(F.col("claim")).alias("ct"), T.domains(F.col("claim")).alias("cd"))
+    hit = q.select("question_id", F.explode("qt").alias("token")).join(c.select("node_id", F.explode("ct").alias("token")), "token").select("question_id", "node_id").distinct()
+    rows = hit.join(q, "question_id").join(c, "node_id")
+    rows = rows.withColumn("score", 0.4 * T.jaccard(F.col("qt"), F.col("ct")) + 0.3 * T.jaccard(F.col("qd"), F.col("cd")) + 0.3 * F.col("r"))
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "node_id"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("question_id", "rank", "node_id", "score")
+
+
+def bundle_hits(claims: DataFrame, bundles: DataFrame, least: int = 2) -> DataFrame:
+    """Claims that hit ``least`` or more bundles (target, bundle, phrase; target_order) of a target; the first target wins."""
+    low = claims.select("node_id", F.lower("claim").alias("low"))
+    hits = low.join(F.broadcast(bundles), F.col("low").contains(F.col("phrase"))).groupBy("node_id", "target", "target_order").agg(F.countDistinct("bundle").alias("bundles"))
+    return hits.filter(F.col("bundles") >= least).groupBy("node_id").agg(F.min_by("target", "target_order").alias("target"))
+
+
+def validate_answers(answers: DataFrame, given: DataFrame, most: int = 800) -> DataFrame:
+    """Model answers (question_id, answer, cited) with ``violation``: empty, too_long, operator_syntax, hedged, unsupported_citation, or null.
+
+    ``given``: the node ids each question was answered from.
+    """
+    cited = answers.select("question_id", F.explode("cited").alias("node_id")).join(given.select("question_id", "node_id"), ["question_id", "node_id"], "left_anti").select("question_id").distinct().withColumn("__bad", F.lit(True))
+    hedge = T.contains_any(F.lower("answer"), ("i am not sure", "i don't know", "cannot determine", "not enough information"))
+    violation = (
+        F.when(F.coalesce(F.trim("answer"), F.lit("")) == "", "empty").when(F.length("answer") > most, "too_long").when(F.col("answer").rlike(r"[{}<>]|\bnode_[0-9a-f]{12}\b"), "operator_syntax")
+        .when(hedge, "hedged").when(F.col("__bad"), "unsupported_citation")
+    )
+    return answers.join(cited, "question_id", "left").withColumn("violation", violation).drop("__bad")
+
+
+def semantic_rescue(refused: DataFrame, terms: DataFrame, embedding: str = "embedding", least: float = 0.60) -> DataFrame:
+    """For refused heads (question_id, embedding) the most alike term (term, embedding) at ``least`` cosine: an optional encoder's vectors, off by default."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+    pairs = refused.select("question_id", F.col(embedding).alias("q")).join(F.broadcast(terms.select("term", F.col(embedding).alias("t"))))
+    scored = pairs.withColumn("cosine", dot(F.col("q"), F.col("t")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("t"), F.col("t")))).filter(F.col("cosine") >= least)
+    return scored.groupBy("question_id").agg(F.max_by("term", F.struct("cosine", "term")).alias("term"), F.max("cosine").alias("cosine"))

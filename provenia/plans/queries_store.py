@@ -469,3 +469,101 @@ def ledger_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)
     return L.fold(rows.withColumn("seq", F.row_number().over(Window.partitionBy("tenant").orderBy("event_id")).cast("long") - 1))
+
+
+# --- more of the store -------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_EDGES}, s AS (SELECT o_orderkey AS n FROM orders WHERE o_orderkey % 100 = 1 UNION ALL SELECT s_suppkey + 100000000 FROM supplier WHERE s_suppkey % 10 = 3)
+        SELECT t AS relation_type, count(*) AS relations FROM (SELECT DISTINCT * FROM e WHERE source_id IN (SELECT n FROM s) OR target_id IN (SELECT n FROM s)) GROUP BY t"""
+)
+def relations_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_linenumber") % 4
+    kind = F.when(k == 0, "causes").when(k == 1, "motivates").when(k == 2, "before").otherwise("supports")
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_id"), (F.col("l_suppkey") + 100000000).alias("target_id"), kind.alias("relation_type"))
+    ids = table(spark, sf_dir, "orders").filter("o_orderkey % 100 = 1").select(F.col("o_orderkey").alias("node_id"))
+    ids = ids.unionByName(table(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 3").select((F.col("s_suppkey") + 100000000).alias("node_id")))
+    return GR.relations_of(edges, ids).groupBy("relation_type").agg(F.count("*").alias("relations"))
+
+
+@query(
+    f"""WITH {_C}, t AS (SELECT DISTINCT c.node_id, b.entity_id, unnest(list_distinct({S.gate('claim')})) AS token FROM c JOIN b ON c.node_id = b.node_id),
+        n AS (SELECT entity_id, token, count(*) AS claims FROM t WHERE length(token) >= 3 AND token NOT IN {S.lst(*V.FUNCTION_WORDS)} AND token <> lower(entity_id) GROUP BY ALL)
+        SELECT entity_id, token, claims, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY claims DESC, token) AS rank FROM n) WHERE rank <= 8"""
+)
+def predicates_about(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, bridge = _store(spark, sf_dir)
+    names = bridge.select("entity_id", F.col("entity_id").alias("canonical_name")).distinct()
+    return RT.predicates_about(c.withColumn("normalized", T.normalize(F.col("claim"))), bridge, names).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    f"""WITH {_C}, q AS (SELECT c_custkey AS question_id, {S.scoring("concat('does Q', translate(cast(c_custkey AS varchar), '0123456789', 'abcdefghij'), ' likes tea at the office')")} AS qt, ['food', 'work'] AS qd FROM customer WHERE c_custkey % 50 = 3),
+        x AS (SELECT node_id, r, {S.scoring('claim')} AS ct, {S.domains('claim')} AS cd FROM c WHERE r >= 0.3),
+        s AS (SELECT question_id, node_id, 0.4 * ({S.jaccard('qt', 'ct')}) + 0.3 * ({S.jaccard('qd', 'cd')}) + 0.3 * r AS score FROM q JOIN x ON list_has_any(qt, ct))
+        SELECT question_id, rank, node_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, node_id) AS rank FROM s) WHERE rank <= 10"""
+)
+def simple_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij")
+    q = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 3").select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("does Q"), name, F.lit(" likes tea at the office")).alias("question"))
+    return RT.simple_score(q, templated(spark, sf_dir), 10, 0.3).select("question_id", F.col("rank").cast("long").alias("rank"), "node_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH {_C}, h AS (SELECT node_id, (contains(lower(claim), 'likes') OR contains(lower(claim), 'dislikes'))::INT + contains(lower(claim), 'tea')::INT AS taste, contains(lower(claim), 'works')::INT + contains(lower(claim), 'office')::INT AS job FROM c)
+        SELECT CASE WHEN taste >= 2 THEN 'taste' ELSE 'job' END AS target, count(*) AS claims FROM h WHERE taste >= 2 OR job >= 2 GROUP BY 1"""
+)
+def semantic_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("taste", 1, "likes", "likes"), ("taste", 1, "likes", "dislikes"), ("taste", 1, "tea", "tea"), ("job", 2, "works", "works"), ("job", 2, "office", "office")]
+    bundles = spark.createDataFrame(rows, "target string, target_order int, bundle string, phrase string")
+    return RT.bundle_hits(templated(spark, sf_dir), bundles).groupBy("target").agg(F.count("*").alias("claims"))
+
+
+@query(
+    f"""WITH {_C}, p AS (SELECT subject, min(node_id) FILTER (polarity = 'positive') AS a, min(node_id) FILTER (polarity = 'negative') AS b FROM c GROUP BY subject HAVING a IS NOT NULL AND b IS NOT NULL),
+        d AS (SELECT a AS n FROM p UNION SELECT b FROM p) SELECT CASE WHEN node_id IN (SELECT n FROM d) THEN 'disputed' ELSE memory_state END AS memory_state, count(*) AS claims FROM c GROUP BY 1"""
+)
+def disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subject's first positive and first negative preference stand against each other: both disputed."""
+    c = templated(spark, sf_dir)
+    pairs = c.groupBy("subject").agg(F.min(F.when(F.col("polarity") == "positive", F.col("node_id"))).alias("old_id"), F.min(F.when(F.col("polarity") == "negative", F.col("node_id"))).alias("new_id"))
+    out, _ = GR.dispute(c, pairs.filter("old_id is not null and new_id is not null").select("old_id", "new_id"))
+    return out.groupBy("memory_state").agg(F.count("*").alias("claims"))
+
+
+@query(
+    """WITH p AS (SELECT event_id, user_id, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS is_prediction, event_type FROM events)
+        SELECT a.event_id AS prediction_id, min(b.event_id) AS resolved_at FROM p a JOIN p b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.event_id > a.event_id WHERE a.is_prediction = 1 AND b.is_prediction = 0 GROUP BY 1"""
+)
+def predictions_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth event predicts its type; the user's next event of that type resolves it."""
+    e = table(spark, sf_dir, "events")
+    p = e.filter("event_id % 4 = 0").select(F.col("event_id").alias("prediction_id"), F.col("user_id").alias("subject"), F.col("event_id").alias("seq"), F.array("event_type").alias("predicted"))
+    o = e.filter("event_id % 4 != 0").select(F.col("user_id").alias("subject"), F.col("event_id").alias("seq"), F.array("event_type").alias("observed"))
+    return M.resolve_predictions(p, o)
+
+
+@query("SELECT event_id, concat('{\"id\":', event_id, ',\"kind\":\"', event_type, '\",\"none\":null,\"user\":', user_id, '}') AS payload, sha256(concat('{\"id\":', event_id, ',\"kind\":\"', event_type, '\",\"none\":null,\"user\":', user_id, '}')) AS digest FROM events")
+def canonical_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = T.canonical_json({"user": F.col("user_id"), "kind": F.col("event_type"), "id": F.col("event_id"), "none": F.lit(None).cast("string")})
+    return table(spark, sf_dir, "events").select("event_id", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def encryption_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names are encrypted under each supplier's key and read back."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_suppkey").cast("string").alias("subject"))
+    keys = rows.select("subject", F.unhex(F.sha2("subject", 256)).alias("key"))
+    return L.decrypt(L.encrypt(rows, keys, ["s_name"]), keys, ["s_name"]).select("s_suppkey", "s_name")
+
+
+@query(
+    f"""WITH {_LEDGER}, w AS (SELECT tenant, object_id, max(seq) AS seq, arg_max(payload, seq) AS payload FROM s WHERE kind = 'ADD_NODE' GROUP BY ALL), g AS (SELECT tenant, object_id, max(seq) AS gone FROM s WHERE kind = 'ERASE' GROUP BY ALL),
+        l2 AS (SELECT tenant, object_id, payload FROM w LEFT JOIN g USING (tenant, object_id) WHERE gone IS NULL OR gone < w.seq)
+        SELECT tenant, sha256(string_agg(sha256(concat_ws(chr(31), object_id, payload)), '' ORDER BY object_id)) AS state_hash, count(*) AS objects FROM l2 GROUP BY tenant"""
+)
+def ledger_state_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every tenant's state, replayed from a checkpoint at event 40 and the tail."""
+    rows = _events(spark, sf_dir).withColumn("seq", F.row_number().over(Window.partitionBy("tenant").orderBy("event_id")).cast("long") - 1)
+    return L.state_hash(L.replay(rows, L.fold(rows, 40), 40))

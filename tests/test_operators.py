@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from provenia.functions import text as T
 from provenia.functions import vocabulary as V
+from provenia.operators import consolidation as C
 from provenia.operators import entities as E
 from provenia.operators import gates as G
 from provenia.operators import graph as GR
@@ -223,3 +224,48 @@ def test_polarity_filter_keeps_all_without_a_match(spark):
 def test_question_heads_belong_to_one_slot():
     heads = [h for hs in V.SLOTS.values() for h in hs]
     assert len(heads) == len(set(heads))
+
+
+def test_causal_edges(spark):
+    rows = [("n1", 1, "Maya sold the old boat", "Maya sold the old boat because storms damaged the harbour", "active"), ("n2", 2, "storms damaged the harbour", "storms damaged the harbour", "active"), ("n3", 3, "Bob paints", "Bob paints", "active")]
+    claims = spark.createDataFrame(rows, "node_id string, seq long, claim string, evidence string, memory_state string")
+    none = spark.createDataFrame([], "source_id string, target_id string, relation_type string")
+    made = GR.causal_edges(claims, none, V.CAUSAL_MARKERS)
+    assert [tuple(r) for r in made.collect()] == [("n2", "n1", "causes")]
+    assert GR.causal_edges(claims, made, V.CAUSAL_MARKERS).count() == 0
+    assert GR.relation_ids(made).first()["relation_id"].startswith("rel_")
+
+
+def test_reflect_and_compress(spark):
+    rows = [(f"n{i}", f"Maya drinks tea number {i}", "fact", ["food"], "active", 0.1 * i) for i in range(1, 6)]
+    claims = spark.createDataFrame(rows, "node_id string, claim string, node_type string, domains array<string>, memory_state string, r double")
+    nodes, edges = C.reflect(claims, C.quoting_proposer)
+    assert [(r["node_type"], r["claim"]) for r in nodes.collect()] == [("reflection", "Maya drinks tea number 1")] and edges.count() == 5
+    none = claims.filter("false").select("node_id")
+    _, _, gone = C.compress(claims, none, none, C.quoting_proposer)
+    assert sorted(r["node_id"] for r in gone.collect()) == ["n1", "n2", "n3"]
+    bad = [("Maya drinks 99 teas", "invented_number"), ("Maya owns a yacht in Monaco today", "ungrounded"), ("Maya drinks tea because tea drinks Maya number storms", "invented_causation"), ("", "empty")]
+    for text, reason in bad:
+        made = C.quoting_proposer(C.members(claims, M.reflect_groups(claims))).withColumn("text", F.lit(text))
+        assert C.judge(made, 0.4).first()["rejected"] == reason
+    again = C.judge(C.quoting_proposer(C.members(claims, M.reflect_groups(claims))), 0.4, nodes.withColumn("domain", F.explode("domains")))
+    assert again.first()["rejected"] == "not_novel"
+
+
+def test_backfill_derivation(spark):
+    nodes = spark.createDataFrame([("s", "summary"), ("r", "reflection"), ("x", "reflection"), ("f", "fact")], "node_id string, node_type string")
+    rels = spark.createDataFrame([("f", "r", "supports"), ("s", "f", "supersedes")], "source_id string, target_id string, relation_type string")
+    new, lost = GR.backfill_derivation(nodes, rels)
+    assert sorted((r["source_id"], r["target_id"]) for r in new.collect()) == [("r", "f"), ("s", "f")] and [r["node_id"] for r in lost.collect()] == ["x"]
+
+
+def test_validate_answers(spark):
+    answers = spark.createDataFrame([(1, "Maya likes tea.", ["a"]), (2, "x" * 900, []), (3, "see {node}", []), (4, "I don't know", []), (5, "fine", ["zzz"]), (6, None, [])], "question_id long, answer string, cited array<string>")
+    given = spark.createDataFrame([(1, "a"), (5, "b")], "question_id long, node_id string")
+    assert {r["question_id"]: r["violation"] for r in RT.validate_answers(answers, given).collect()} == {1: None, 2: "too_long", 3: "operator_syntax", 4: "hedged", 5: "unsupported_citation", 6: "empty"}
+
+
+def test_semantic_rescue(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, -1.0])], "question_id long, embedding array<double>")
+    t = spark.createDataFrame([("pay", [0.9, 0.1]), ("pet", [0.0, 1.0])], "term string, embedding array<double>")
+    assert [(r["question_id"], r["term"]) for r in RT.semantic_rescue(q, t).collect()] == [(1, "pay")]
