@@ -244,7 +244,7 @@ def test_reflect_and_compress(spark):
     none = claims.filter("false").select("node_id")
     _, _, gone = C.compress(claims, none, none, C.quoting_proposer)
     assert sorted(r["node_id"] for r in gone.collect()) == ["n1", "n2", "n3"]
-    bad = [("Maya drinks 99 teas", "invented_number"), ("Maya owns a yacht in Monaco today", "ungrounded"), ("Maya drinks tea because tea drinks Maya number storms", "invented_causation"), ("", "empty")]
+    bad = [("Maya drinks 99 teas", "invented_number"), ("Maya owns a yacht in Monaco today", "ungrounded"), ("Maya drinks tea because heavy storms flood", "invented_causation"), ("", "empty")]
     for text, reason in bad:
         made = C.quoting_proposer(C.members(claims, M.reflect_groups(claims))).withColumn("text", F.lit(text))
         assert C.judge(made, 0.4).first()["rejected"] == reason
