@@ -81,6 +81,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Word for word the contract of each operator, in DuckDB's SQL.
 ORACLES: dict[str, str] = {
+    "op3_near_dups": """
+        WITH RECURSIVE t AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM t
+        ), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p WHERE 100 * c >= 80 * (nx + ny - c) UNION ALL SELECT y, x FROM p WHERE 100 * c >= 80 * (nx + ny - c)),
+        r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id)
+        SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+        FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) c ON s.doc_id = c.doc_id
+    """,
     "op10_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, source, i, trim(line, ' ') AS k, line
