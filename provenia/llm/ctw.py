@@ -33,13 +33,13 @@ from .common import crc_mod, slices, strings, written
 
 DEPTH = 5
 NODE_BUDGET = 1 << 19
-HOT_TOKENS = 1 << 20
+HOT_TOKENS = 1 << 21
 SMOOTHING = 0.1
 _NEWLINE, _BLANK = 10, 32
 _TOKEN, _GRAM = 0, 1
 #: The token that closes every text.
 END = int(mix64(np.array([2**63 + 10], np.uint64))[0])
-_FLUSH = 1_200_000
+_FLUSH = 3_000_000
 
 
 def _stream(w: Words, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
