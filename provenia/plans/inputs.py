@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Tables with texts, whose expressions cost far more than a shuffle of them, and their keys.
+_TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that come in fewer splits than there are cores (one small file) are dealt out by their key."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _TEXTS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, _TEXTS[name])
+    return df
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
