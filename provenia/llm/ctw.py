@@ -7,10 +7,11 @@ counts and the tree mixes the estimates of all depths 0..``depth`` with the weig
 ``Pw = (Pe + product of the children's Pw) / 2``. Statistics are frozen after training, so the
 mixture along a path is computed once for each node.
 
-Size bound: a node is kept if it was visited at least ``total bytes / node_budget`` times. A byte
-visits eight nodes of each depth, so ``8 * node_budget`` nodes of a depth remain at most. What a node
-saw beyond its kept children is one further child, the rest, so the model stays a complete tree
-source. Counts cover every training text.
+Every context that training saw keeps its node, so the model grows with the corpus. It lies in tables
+in the shared folder: the levels are weighted upwards and mixed downwards by joins of each node with
+its parent. For scoring, texts are cut into blocks; a block's distinct byte strings are joined with
+the probabilities, those that training did not see are walked from the deepest node of their path,
+and each block is scored with what it asked for. Counts cover every training text.
 
 Cases: a null or empty text is the closing newline alone; a null id counts as the empty string
 for the split (held out); repeated rows are scored, and counted, once each; with an empty training
@@ -21,18 +22,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import HashIndex, Words, mix64, unique_counts, words
 from .common import crc_mod, slices, strings, written
 
 DEPTH = 5
-NODE_BUDGET = 1 << 19
+#: Bytes of text whose byte strings are looked up, and which are scored, at once.
+BLOCK_BYTES = 16 << 20
 HOT_TOKENS = 1 << 21
 SMOOTHING = 0.1
 _NEWLINE, _BLANK = 10, 32
@@ -125,120 +128,112 @@ def kt_log(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _ln_gamma(np.add(n0, 0.5)) + _ln_gamma(np.add(n1, 0.5)) - 2 * half - _ln_gamma(np.add(n0, n1) + 1.0)
 
 
+def _ln_gamma_of(x: Column) -> Column:
+    """``_ln_gamma`` as a column."""
+    y = x + 8
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(reduce(lambda a, k: a * (x + k), range(1, 8), x))
+
+
+def _kt_log_of(n0: Column, n1: Column) -> Column:
+    half = 0.5723649429247001
+    return _ln_gamma_of(n0 + 0.5) + _ln_gamma_of(n1 + 0.5) - F.lit(2 * half) - _ln_gamma_of(n0 + n1 + 1.0)
+
+
+#: Node of a byte string at one bit of its last byte, as (context, bits so far); its bit there.
+_NODE = "(shiftleft(shiftright(key, 8), 8) | shiftleft(1L, bit) | shiftright(key & 255L, 8 - bit))"
+_BIT = "(shiftright(key & 255L, 7 - bit) & 1L)"
+
+
+def _bits(grams: DataFrame) -> DataFrame:
+    return grams.withColumn("bit", F.explode(F.array(*[F.lit(i) for i in range(8)])))
+
+
+def _up(depth: int) -> Column:
+    """The node's parent at ``depth``: the context without its earliest byte."""
+    return F.col("node").bitwiseAND(F.lit((1 << (8 * (depth + 1))) - 1).cast("long"))
+
+
+def _drop(frames: list[DataFrame]) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def build(grams: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The frozen tree of all counted byte strings (key, n).
+
+    Gives the nodes of all depths (depth, node, zero: P(bit = 0) on the path up to this node) and, for
+    each counted byte string, log10 of its last byte's probability (key, log10).
+    """
+    n0, n1, half = F.col("n0"), F.col("n1"), F.lit(float(np.log(0.5)))
+    nodes = _bits(grams).select(F.expr(_NODE).alias("node"), F.expr(f"n * (1 - {_BIT})").alias("a"), F.expr(f"n * {_BIT}").alias("b"))
+    levels = [written(nodes.groupBy("node").agg(F.sum("a").alias("n0"), F.sum("b").alias("n1")), f"ctw-up-{depth}")]
+    for d in range(depth - 1, -1, -1):
+        low = levels[0] if d < depth - 1 else levels[0].withColumn("below", _kt_log_of(n0, n1))
+        nodes = low.groupBy(_up(d).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("children")).withColumn("pe", _kt_log_of(n0, n1))
+        high, least = F.greatest("pe", "children"), F.least("pe", "children")
+        levels.insert(0, written(nodes.select("node", "n0", "n1", (high + F.log1p(F.exp(least - high)) + half).alias("below")), f"ctw-up-{d}"))
+    above, down = None, []
+    for d, nodes in enumerate(levels):
+        if above is None:
+            nodes = nodes.withColumn("mixed", F.lit(0.0)).withColumn("remains", F.lit(1.0))
+        else:
+            nodes = nodes.withColumn("parent", _up(d - 1)).join(above.select(F.col("node").alias("parent"), "mixed", "remains"), "parent")
+        weight = F.exp(half + _kt_log_of(n0, n1) - F.col("below")) if d < depth else F.lit(1.0)
+        mixed, remains = F.col("mixed") + F.col("remains") * weight * (n0 + 0.5) / (n0 + n1 + 1), F.col("remains") * (1 - weight)
+        above = written(nodes.select("node", mixed.alias("mixed"), *([remains.alias("remains")] if d < depth else [])), f"ctw-down-{d}")
+        # Beyond the node nothing was seen: the estimate of no counts, 1/2.
+        zero = F.col("mixed") + F.col("remains") * 0.5 if d < depth else F.col("mixed")
+        down.append(above.select(F.lit(d).alias("depth"), "node", F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), zero)).alias("zero")))
+    _drop(levels)
+    steps = _bits(grams.select("key")).select("key", F.expr(_NODE).alias("node"), F.expr(_BIT).alias("one")).join(down[-1], "node")
+    seen = written(steps.groupBy("key").agg(_path().alias("log10")), "ctw-grams")
+    return reduce(DataFrame.unionByName, down), seen
+
+
+def _path() -> Column:
+    return F.sum(F.log10(F.when(F.col("one") == 1, 1 - F.col("zero")).otherwise(F.col("zero"))))
+
+
+def walk(grams: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """log10 of the last byte of each of the distinct strings (key): at each bit the deepest node on the path decides."""
+    masks = F.array(*[F.lit((1 << (8 * (d + 1))) - 1).cast("long") for d in range(depth + 1)])
+    steps = _bits(grams).select("key", "bit", F.expr(_BIT).alias("one"), F.expr(_NODE).alias("whole"), F.posexplode(masks).alias("depth", "mask"))
+    steps = steps.withColumn("node", F.col("whole").bitwiseAND(F.col("mask"))).join(nodes, ["depth", "node"], "left")
+    deepest = steps.groupBy("key", "bit", "one").agg(F.coalesce(F.max_by("zero", F.when(F.col("zero").isNotNull(), F.col("depth"))), F.lit(0.5)).alias("zero"))
+    return deepest.groupBy("key").agg(_path().alias("log10"))
+
+
 @dataclass
-class CtwModel:
-    """Frozen predictive probabilities: for each depth, node keys and P(bit = 0) along the path."""
+class Hot:
+    """Frequent words with their counts, and an index of them built once in each worker."""
 
-    depth: int
-    keys: list[np.ndarray]
-    zero: list[np.ndarray]
-    grams: np.ndarray
-    gram_log10: np.ndarray
+    keys: np.ndarray
+    n: np.ndarray
     _index: HashIndex | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return {**self.__dict__, "_index": None}
 
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte of each gram after the bytes before it."""
+    def find(self, keys: np.ndarray) -> np.ndarray:
         if self._index is None:
-            self._index = HashIndex(self.grams)
-        at = self._index.find(grams)
-        out = self.gram_log10[at] if len(self.gram_log10) else np.zeros(len(grams), np.float32)
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new, back = np.unique(grams[missing], return_inverse=True)
-            out[missing] = self.walk(new)[back]
-        return out
-
-    def walk(self, grams: np.ndarray) -> np.ndarray:
-        """The same by the tree: at each bit the deepest kept node on the path decides."""
-        context, byte = grams >> np.uint64(8), grams & np.uint64(255)
-        total = np.zeros(len(grams))
-        for bit in range(8):
-            prefix = np.uint64(1 << bit) | (byte >> np.uint64(8 - bit))
-            one = (byte >> np.uint64(7 - bit)) & np.uint64(1)
-            p0 = np.full(len(grams), 0.5)
-            open_ = np.arange(len(grams))
-            for d in range(self.depth, -1, -1):
-                if not len(open_) or not len(self.keys[d]):
-                    continue
-                key = ((context[open_] & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | prefix[open_]
-                at = np.minimum(np.searchsorted(self.keys[d], key), len(self.keys[d]) - 1)
-                hit = self.keys[d][at] == key
-                p0[open_[hit]] = self.zero[d][at[hit]]
-                open_ = open_[~hit]
-            total += np.log10(np.where(one == 1, 1 - p0, p0))
-        return total.astype(np.float32)
-
-
-def _level(grams: DataFrame, order: int, depth: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kept nodes of depth ``order``: key (context, bits so far), zeros, ones; sorted by key."""
-    if order < depth:
-        mask = (1 << (8 * (order + 1))) - 1
-        grams = grams.groupBy(F.col("key").bitwiseAND(F.lit(mask).cast("long")).alias("key")).agg(F.sum("n").alias("n"))
-    nodes = (
-        grams.withColumn("bit", F.explode(F.array(*[F.lit(i) for i in range(8)])))
-        .select(
-            F.expr("(shiftleft(shiftright(key, 8), 8) | shiftleft(1L, bit) | shiftright(key & 255L, 8 - bit))").alias("node"),
-            F.col("n"), F.expr("n * (shiftright(key & 255L, 7 - bit) & 1L)").alias("one"),
-        )
-        .groupBy("node").agg(F.sum("n").alias("n"), F.sum("one").alias("one"))
-        .filter(F.col("n") >= least)
-    )
-    table = nodes.toArrow()
-    key, n, one = (np.asarray(table.column(i).to_numpy()) for i in range(3))
-    place = np.argsort(key.view(np.uint64))
-    return key.view(np.uint64)[place], (n - one)[place], one[place]
-
-
-def build(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], grams: np.ndarray) -> CtwModel:
-    """The frozen tree: ``levels[d]`` has the kept nodes of depth d as sorted keys, zeros and ones.
-
-    ``grams`` are frequent byte strings whose probability is worked out beforehand.
-    """
-    depth = len(levels) - 1
-    parent = [None]
-    for d in range(1, depth + 1):
-        key, up = levels[d][0], levels[d - 1][0]
-        context = (key >> np.uint64(8)) & np.uint64((1 << (8 * (d - 1))) - 1)
-        parent.append(np.searchsorted(up, (context << np.uint64(8)) | (key & np.uint64(255))))
-    weight, rest = [np.zeros(0)] * (depth + 1), [(np.zeros(0), np.zeros(0))] * (depth + 1)
-    below = None
-    for d in range(depth, -1, -1):
-        key, n0, n1 = levels[d]
-        pe = kt_log(n0, n1)
-        if d == depth:
-            weight[d], below = np.ones(len(key)), pe
-            continue
-        up = parent[d + 1]
-        sums = [np.bincount(up, weights=x, minlength=len(key)) for x in (levels[d + 1][1], levels[d + 1][2], below)]
-        rest[d] = (n0 - sums[0], n1 - sums[1])
-        children = sums[2] + kt_log(*rest[d])
-        below = np.logaddexp(pe, children) + np.log(0.5)
-        weight[d] = np.exp(np.log(0.5) + pe - below)
-    zero, mixed, left = [], None, None
-    for d in range(depth + 1):
-        key, n0, n1 = levels[d]
-        kt = (n0 + 0.5) / (n0 + n1 + 1)
-        above, remains = (0.0, 1.0) if d == 0 else (mixed[parent[d]], left[parent[d]])
-        mixed, left = above + remains * weight[d] * kt, remains * (1 - weight[d])
-        r0, r1 = rest[d]
-        zero.append((mixed + left * (r0 + 0.5) / (r0 + r1 + 1)) if d < depth else mixed)
-    zero = [np.clip(z, 1e-12, 1 - 1e-12) for z in zero]
-    model = CtwModel(depth, [x[0] for x in levels], zero, grams, np.zeros(0, np.float32))
-    model.gram_log10 = model.walk(grams)
-    return model
+            self._index = HashIndex(self.keys)
+        return self._index.find(keys)
 
 
 @dataclass
 class Fit:
-    model: CtwModel
+    depth: int
+    nodes: DataFrame
+    grams: DataFrame
     tokens: int
     vocabulary: int
     counts: DataFrame
     hot_least: int
-    hot: tuple[np.ndarray, np.ndarray]
+    hot: Hot
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -248,60 +243,95 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], np.asarray(table.column(1).to_numpy())[order]
 
 
-def fit(train: DataFrame, text: str = "text", depth: int = DEPTH, node_budget: int = NODE_BUDGET, hot_tokens: int = HOT_TOKENS) -> Fit:
+def fit(train: DataFrame, text: str = "text", depth: int = DEPTH, hot_tokens: int = HOT_TOKENS) -> Fit:
     """Count words and byte strings of all training texts, then build the tree.
 
-    To the driver come only nodes, byte strings and words that make up a set share of all
-    occurrences, so their numbers are bounded: ``8 * node_budget`` nodes of each depth,
-    ``node_budget`` byte strings, ``hot_tokens`` words.
+    To the driver come only words that make up a set share of all occurrences, ``hot_tokens`` at most.
     """
     counts = written(
         train.select(F.col(text)).mapInArrow(_counter(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts"
     )
     totals = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     tokens, vocabulary = totals.get(_TOKEN, (0, 0))
-    total = totals.get(_GRAM, (0, 0))[0]
-    grams = counts.filter(F.col("kind") == _GRAM)
-    least = max(1, -(-total // node_budget))
-    grams = grams.select("key", "n")
-    levels = [_level(grams, d, depth, least) for d in range(depth + 1)]
-    frequent = _arrays(grams.filter(F.col("n") >= least))[0]
+    nodes, grams = build(counts.filter(F.col("kind") == _GRAM).select("key", "n"), depth)
     hot_least = max(1, -(-tokens // hot_tokens))
     token_counts = counts.filter(F.col("kind") == _TOKEN).select("key", "n")
-    return Fit(build(levels, frequent), tokens, vocabulary, token_counts, hot_least, _arrays(token_counts.filter(F.col("n") >= hot_least)))
+    return Fit(depth, nodes, grams, tokens, vocabulary, token_counts, hot_least, Hot(*_arrays(token_counts.filter(F.col("n") >= hot_least))))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers rows and deals consecutive ones into blocks of about ``BLOCK_BYTES``."""
+    context = TaskContext.get()
+    base = context.partitionId() << 36 if context else 0
+    rid, size = base, 0
+    for batch in batches:
+        rows = batch.num_rows
+        _, offsets = strings(batch.column(1))
+        block = base + (size + offsets[:-1]) // BLOCK_BYTES
+        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(rid + np.arange(rows)), batch.column(0), batch.column(1)], names=["block", "rid", "id", "text"])
+        rid, size = rid + rows, size + int(offsets[-1])
+
+
+def _asked(depth: int):
+    """Distinct byte strings of each block; a block that two tasks read comes in two parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+
+        def emit(block: int) -> Iterator[pa.RecordBatch]:
+            keys = np.unique(np.concatenate(held.pop(block))).view(np.int64)
+            for i in range(0, len(keys), 1 << 16):
+                k = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k)], names=["block", "key"])
+
+        for batch in batches:
+            numbers = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = strings(batch.column(1))
+            edge = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1], [True]])) if len(numbers) else []
+            for a, b in zip(edge[:-1], edge[1:]):
+                for done in [x for x in held if x != numbers[a]]:
+                    yield from emit(done)
+                part = offsets[a : b + 1] - offsets[a]
+                for i, j in slices(part):
+                    w = words(data[offsets[a] + part[i] : offsets[a] + part[j]], part[i : j + 1] - part[i])
+                    held.setdefault(int(numbers[a]), []).append(unique_counts(_grams(w, depth)[0])[0])
+        for block in list(held):
+            yield from emit(block)
+
+    return run
 
 
 _SCORED = "rid long, id long, tokens long, known long, bytes long, base double, score double, key long, m long"
 
 
-def _scorer(model, hot, tokens: int, vocabulary: int, hot_is_all: bool):
-    """One carrier row for each text, and one for each distinct word of it outside the hot list."""
+def _scorer(hot, depth: int, tokens: int, vocabulary: int, hot_is_all: bool):
+    """One carrier row for each text of a block, and one for each distinct word of it outside the hot list."""
     unseen = np.log10(SMOOTHING / (tokens + SMOOTHING * (vocabulary + 1)))
     scale = np.log10(tokens + SMOOTHING * (vocabulary + 1))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, (hot_keys, hot_n) = model.value, hot.value
-        index = HashIndex(hot_keys)
-        hot_log = np.log10(hot_n + SMOOTHING) - scale if len(hot_n) else np.zeros(0)
-        context = TaskContext.get()
-        rid = context.partitionId() << 36 if context else 0
-        for batch in batches:
-            ids = batch.column(0)
-            data, offsets = strings(batch.column(1))
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        frequent = hot.value
+        hot_log = np.log10(frequent.n + SMOOTHING) - scale if len(frequent.n) else np.zeros(0)
+        keys, first = np.unique(answers.column("key").to_numpy().view(np.uint64), return_index=True)
+        return pa.Table.from_batches(list(_score_block(texts, HashIndex(keys), answers.column("log10").to_numpy()[first], frequent, hot_log)))
+
+    def _score_block(texts, tree, log10, frequent, hot_log) -> Iterator[pa.RecordBatch]:
+        for batch in texts.combine_chunks().to_batches():
+            rids, ids = batch.column("rid").to_numpy(zero_copy_only=False), batch.column("id")
+            data, offsets = strings(batch.column("text"))
             for i, j in slices(offsets):
                 w = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 docs = j - i
-                grams, at = _grams(w, tree.depth)
-                score_ = np.add.reduceat(tree.log10(grams).astype(float), at[:-1])
+                grams, at = _grams(w, depth)
+                score_ = np.add.reduceat(log10[tree.find(grams)], at[:-1])
                 keys = np.concatenate([w.hash, np.full(docs, END, np.uint64)])
                 owner = np.concatenate([w.doc, np.arange(docs)])
-                found = index.find(keys)
+                found = frequent.find(keys)
                 hit = found >= 0
                 base = np.bincount(owner[hit], weights=hot_log[found[hit]], minlength=docs)
                 known = np.bincount(owner[hit], minlength=docs)
                 n = w.per_doc + 1
-                rows = rid + np.arange(docs)
-                rid += docs
+                rows = rids[i:j]
                 # Rare words: distinct in each text, then joined with their counts.
                 rare_key, rare_doc = keys[~hit], owner[~hit]
                 if hot_is_all:
@@ -335,10 +365,14 @@ def score(docs: DataFrame, fitted: Fit, doc_id: str = "doc_id", text: str = "tex
     Word counts of the hot list (a proven bound, see ``fit``) are applied on the map side; only
     words outside it, by definition rare, are joined with their counts, once for each text.
     """
-    spark = docs.sparkSession
-    model, hot = spark.sparkContext.broadcast(fitted.model), spark.sparkContext.broadcast(fitted.hot)
+    hot = docs.sparkSession.sparkContext.broadcast(fitted.hot)
     hot_is_all = fitted.hot_least <= 1
-    rows = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_scorer(model, hot, fitted.tokens, fitted.vocabulary, hot_is_all), _SCORED)
+    blocks = written(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_blocks, "block long, rid long, id long, text string"), "ctw-blocks")
+    asked = written(blocks.select("block", "text").mapInArrow(_asked(fitted.depth), "block long, key long"), "ctw-asked")
+    new = asked.select("key").distinct().join(fitted.grams, "key", "left_anti")
+    known = fitted.grams.unionByName(written(walk(new, fitted.nodes, fitted.depth), "ctw-new"))
+    answers = asked.join(known, "key").select("block", "key", "log10")
+    rows = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(hot, fitted.depth, fitted.tokens, fitted.vocabulary, hot_is_all), _SCORED)
     denominator = float(fitted.tokens + SMOOTHING * (fitted.vocabulary + 1))
     if not hot_is_all:
         rare = fitted.counts.filter(F.col("n") < fitted.hot_least).select("key", F.col("n").alias("c"))
