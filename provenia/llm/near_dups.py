@@ -9,10 +9,11 @@ values, small ones by none. Neighbours are candidates. Candidates whose signatur
 confirmed on their full sets; links form components.
 
 The forest is searched in two rounds. After the first, with few trees, nodes know their component;
-in the second, with the other trees, only neighbours of different components are candidates, so a
-large group costs no more pairs than it has members. Rows of a tree are range-partitioned by region
-and further values: a region with many members spreads over tasks. At a Jaccard similarity of 0.8 a
-pair shares a region of no tree with a probability of about 1e-5, less above.
+in the second, with the other trees, every two members of a region that belong to different
+components are candidates, so a large group costs no pairs within itself, and a crowd below the
+threshold hides no pair. Work in a crowded region grows with the square of its components. Rows of a
+tree are range-partitioned by region and further values in the first round. At a Jaccard similarity
+of 0.8 a pair shares a region of no tree with a probability of about 1e-5, less above.
 
 Cases: null or empty texts, and texts without words, have empty sets and stand alone; rows of null
 id stand alone with a null component and are kept; equal rows with one id are one document; where
@@ -40,8 +41,8 @@ DEPTH = 5
 #: Further values that order a region.
 TAIL = 4
 ROUNDS = (8, 32)
-#: Neighbours looked at in each round.
-NEIGHBOURS = (1, 3)
+#: Neighbours looked at in each round; none: every member of the region.
+NEIGHBOURS = (1, None)
 #: Share of equal signature values below which a pair is not confirmed; 0.8 lies over five standard deviations above.
 SIGNATURE = 0.6
 #: Candidate ids of this many bytes at most are broadcast to pick texts; beyond that a join does it.
@@ -157,6 +158,16 @@ def _neighbours(width: int):
     return run
 
 
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs of all members of a region that belong to different components."""
+    rows = written(rows.select("key", "id", "comp"), "regions")
+    groups = rows.select("key", "comp").distinct()
+    groups = written(groups.join(groups.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi"), "region-components")
+    both = groups.toDF("key", "ca").join(groups.toDF("key", "cb"), "key").filter("ca < cb")
+    pairs = both.join(rows.toDF("key", "x", "ca"), ["key", "ca"]).join(rows.toDF("key", "y", "cb"), ["key", "cb"])
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, FUNCTIONS) for c in (2, 3))
@@ -192,13 +203,16 @@ def _sets(shingle: int):
     return run
 
 
-def _links(nodes: DataFrame, texts: DataFrame, trees: range, width: int, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links (a < b) between nodes of different components that are neighbours in some tree."""
+def _links(nodes: DataFrame, texts: DataFrame, trees: range, width: int | None, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links (a < b) between nodes of different components that are neighbours, or without a width members of one region, in some tree."""
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = nodes.select("id", "sig", "comp").mapInArrow(_tree_rows(trees), "key long, tail long, id long, comp long")
-    rows = rows.repartitionByRange(parts, "key", "tail", "id").sortWithinPartitions("key", "tail", "id")
-    pairs = rows.select("key", "id", "comp").mapInArrow(_neighbours(width), "a long, b long").distinct()
+    if width is None:
+        pairs = _across(rows).distinct()
+    else:
+        rows = rows.repartitionByRange(parts, "key", "tail", "id").sortWithinPartitions("key", "tail", "id")
+        pairs = rows.select("key", "id", "comp").mapInArrow(_neighbours(width), "a long, b long").distinct()
     sig = nodes.select("id", "sig")
     alike = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
     alike = written(alike, "candidates")
