@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Levels of a Merkle tree that a plan unrolls: documents of up to 2**LEVELS parts.
-LEVELS = 14
+#: Levels of a Merkle tree that a fold goes up at most: more parts than an array can hold.
+LEVELS = 31
 
 
 def doc_hash(x: Column) -> Column:
