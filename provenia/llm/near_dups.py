@@ -9,11 +9,13 @@ values, small ones by none. Neighbours are candidates. Candidates whose signatur
 confirmed on their full sets; links form components.
 
 The forest is searched in two rounds. After the first, with few trees, nodes know their component;
-in the second, with the other trees, every two members of a region that belong to different
-components are candidates, so a large group costs no pairs within itself, and a crowd below the
-threshold hides no pair. Work in a crowded region grows with the square of its components. Rows of a
-tree are range-partitioned by region and further values in the first round. At a Jaccard similarity
-of 0.8 a pair shares a region of no tree with a probability of about 1e-5, less above.
+in the second, with the other trees, all members of a region that belong to different components are
+compared. In a region of at most ``CROWD`` components these are pairs. Larger regions that share
+members form a crowd, whose signatures and sets are brought together in blocks of bounded size; each
+pair of blocks is compared in memory, likeliest pairs first, and only links come out, so a crowd costs
+no pairs of rows. Its time grows with the rows outside its largest component times its rows: a crowd
+that lies just below the threshold has no cheaper exact answer. At a Jaccard similarity of 0.8 a pair
+shares a region of no tree with a probability of about 1e-7, less above.
 
 Cases: null or empty texts, and texts without words, have empty sets and stand alone; rows of null
 id stand alone with a null component and are kept; equal rows with one id are one document; where
@@ -43,6 +45,10 @@ TAIL = 4
 ROUNDS = (8, 32)
 #: Neighbours looked at in each round; none: every member of the region.
 NEIGHBOURS = (1, None)
+#: Components of a region up to which their members are paired as rows.
+CROWD = 16
+#: Bytes of signatures and sets in a block of a crowd.
+BLOCK_BYTES = 16 << 20
 #: Share of equal signature values below which a pair is not confirmed; 0.8 lies over five standard deviations above.
 SIGNATURE = 0.6
 #: Candidate ids of this many bytes at most are broadcast to pick texts; beyond that a join does it.
@@ -158,16 +164,88 @@ def _neighbours(width: int):
     return run
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs of all members of a region that belong to different components."""
-    rows = written(rows.select("key", "id", "comp"), "regions")
-    groups = rows.select("key", "comp").distinct()
-    groups = written(groups.join(groups.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi"), "region-components")
+def _across(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of all members of a region (key) that belong to different components; groups: (key, comp) of the regions wanted."""
     both = groups.toDF("key", "ca").join(groups.toDF("key", "cb"), "key").filter("ca < cb")
     pairs = both.join(rows.toDF("key", "x", "ca"), ["key", "ca"]).join(rows.toDF("key", "y", "cb"), ["key", "cb"])
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _crowds(members: DataFrame) -> DataFrame:
+    """(id, crowd): members (key, id) of crowded regions; regions that share a member are one crowd."""
+    least = members.groupBy("id").agg(F.min("key").alias("least"))
+    joined = components(members.join(least, "id").filter("key != least").select(F.col("key").alias("a"), F.col("least").alias("b")))
+    return least.join(joined.toDF("least", "crowd"), "least", "left").select("id", F.coalesce("crowd", "least").alias("crowd"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (crowd, comp, bytes, ...) with ``owner`` and ``block``: a large component has blocks of its own, the others are pooled."""
+    own = rows.groupBy("crowd", "comp").agg(F.sum("bytes").alias("own"))
+    pool = own.filter(F.col("own") <= BLOCK_BYTES).groupBy("crowd").agg(F.sum("own").alias("pool"))
+    rows = rows.join(own, ["crowd", "comp"]).join(pool, "crowd", "left")
+    large = F.col("own") > BLOCK_BYTES
+    parts = lambda c: F.ceil(F.col(c) / F.lit(BLOCK_BYTES)).cast("long")
+    place = F.when(large, F.pmod(F.xxhash64("id"), parts("own"))).otherwise(F.pmod(F.xxhash64("comp"), parts("pool")))
+    owner = F.when(large, F.col("comp"))
+    return rows.withColumn("owner", owner).withColumn("block", F.xxhash64("crowd", "owner", place)).drop("own", "pool")
+
+
+def _crowd_links(percent: int):
+    """Links that join components, of two blocks (side 0 and 1) or within one (side 0 alone)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, ids, comp = (table.column(c).to_numpy() for c in ("side", "id", "comp"))
+        order = np.lexsort((ids, side))
+        side, ids, comp = side[order], ids[order], comp[order]
+        picked = table.take(pa.array(order))
+        sig = np.frombuffer(b"".join(picked.column("sig").to_pylist()), np.uint16).reshape(-1, FUNCTIONS)
+        sets = [np.frombuffer(x, np.uint64) for x in picked.column("elements").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        start, flat = np.cumsum(size) - size, np.concatenate(sets)
+        root = np.unique(comp, return_inverse=True)[1]
+        right = np.flatnonzero(side == side.max())
+        within = side.max() == 0
+        found = []
+        for x in np.flatnonzero(side == 0).tolist():
+            y = right[right > x] if within else right
+            y = y[(root[y] != root[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+            if not len(y):
+                continue
+            agree = (sig[y] == sig[x]).sum(1)
+            best = np.argsort(-agree, kind="stable")
+            y = y[best[: int((agree >= SIGNATURE * FUNCTIONS).sum())]]
+            step = 4
+            while len(y):
+                now, y, step = y[:step], y[step:], step * 8
+                n = size[now]
+                at = np.repeat(start[now] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                place = np.minimum(np.searchsorted(sets[x], flat[at]), size[x] - 1)
+                both = np.add.reduceat((sets[x][place] == flat[at]).astype(np.int64), np.cumsum(n) - n)
+                for z in now[100 * both >= percent * (n + size[x] - both)].tolist():
+                    if root[z] != root[x]:
+                        root[root == root[z]] = root[x]
+                        found.append((min(ids[x], ids[z]), max(ids[x], ids[z])))
+                y = y[root[y] != root[x]]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
+def _links_in_crowds(nodes: DataFrame, texts: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between components among members (key, id) of crowded regions."""
+    rows = written(_crowds(members).join(nodes, "id").select("crowd", "id", "comp", "sig", "f1"), "crowds")
+    sets = _sets_of(texts, rows.select("id", "f1"), shingle)
+    rows = rows.drop("f1").join(sets, "id").withColumn("bytes", F.length("elements") + F.length("sig"))
+    rows = written(_blocks(rows), "crowd-blocks")
+    blocks = rows.select("crowd", "block", "owner").distinct()
+    both = blocks.toDF("crowd", "left", "lo").join(blocks.toDF("crowd", "right", "ro"), "crowd").filter("left <= right and (lo is null or ro is null or lo != ro)").select("left", "right")
+    own = ("id", "comp", "sig", "elements")
+    sided = both.join(rows.select(F.col("block").alias("left"), *own), "left").withColumn("side", F.lit(0))
+    sided = sided.unionByName(both.filter("left != right").join(rows.select(F.col("block").alias("right"), *own), "right").withColumn("side", F.lit(1)))
+    return written(sided.groupBy("left", "right").applyInArrow(_crowd_links(percent), "a long, b long"), "links")
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, FUNCTIONS) for c in (2, 3))
@@ -203,27 +281,41 @@ def _sets(shingle: int):
     return run
 
 
-def _links(nodes: DataFrame, texts: DataFrame, trees: range, width: int | None, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links (a < b) between nodes of different components that are neighbours, or without a width members of one region, in some tree."""
-    spark = nodes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("id", "sig", "comp").mapInArrow(_tree_rows(trees), "key long, tail long, id long, comp long")
-    if width is None:
-        pairs = _across(rows).distinct()
-    else:
-        rows = rows.repartitionByRange(parts, "key", "tail", "id").sortWithinPartitions("key", "tail", "id")
-        pairs = rows.select("key", "id", "comp").mapInArrow(_neighbours(width), "a long, b long").distinct()
+def _sets_of(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(id, elements) of the wanted (id, f1), once each; few ids are broadcast, more are joined."""
+    wanted = written(wanted.distinct(), "wanted")
+    if 16 * wanted.count() <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    sets = texts.join(wanted, "id").select("id", "text", "f1").mapInArrow(_sets(shingle), "id long, elements binary")
+    return written(sets.groupBy("id").agg(F.first("elements").alias("elements")), "candidate-sets")
+
+
+def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) those that are links: first by signature, then by the full sets."""
     sig = nodes.select("id", "sig")
     alike = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
     alike = written(alike, "candidates")
-    ids = written(alike.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "f1"), "id"), "candidate-ids")
-    count = ids.count()
-    wanted = F.broadcast(ids) if 16 * count <= BROADCAST_BYTES else ids
-    sets = written(texts.join(wanted, "id").select("id", "text", "f1").mapInArrow(_sets(shingle), "id long, elements binary"), "candidate-sets")
+    ids = alike.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "f1"), "id")
+    sets = _sets_of(texts, ids, shingle)
     both = alike.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b").select("a", "b", "ea", "eb")
     return written(both.mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
 
+def _links(nodes: DataFrame, texts: DataFrame, trees: range, width: int | None, shingle: int, percent: int) -> list[DataFrame]:
+    """Confirmed links (a < b) between nodes of different components that are neighbours, or without a width members of one region, in some tree."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.select("id", "sig", "comp").mapInArrow(_tree_rows(trees), "key long, tail long, id long, comp long")
+    if width is not None:
+        rows = rows.repartitionByRange(parts, "key", "tail", "id").sortWithinPartitions("key", "tail", "id")
+        return [_confirm(rows.select("key", "id", "comp").mapInArrow(_neighbours(width), "a long, b long").distinct(), nodes, texts, shingle, percent)]
+    rows = written(rows.select("key", "id", "comp"), "regions")
+    groups = written(rows.select("key", "comp").distinct(), "region-components")
+    size = groups.groupBy("key").count()
+    few = written(groups.join(size.filter((F.col("count") > 1) & (F.col("count") <= CROWD)).select("key"), "key", "left_semi"), "region-few")
+    members = written(rows.join(size.filter(F.col("count") > CROWD).select("key"), "key", "left_semi").select("key", "id"), "region-crowds")
+    return [_confirm(_across(rows, few).distinct(), nodes, texts, shingle, percent), _links_in_crowds(nodes, texts, members, shingle, percent)]
+
+
 def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest id reachable), kept."""
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -235,7 +327,7 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     comp, links, first = None, [], 0
     for count, width in zip(ROUNDS, NEIGHBOURS):
         labelled = nodes.withColumn("comp", F.col("id")) if comp is None else nodes.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-        links.append(_links(labelled, texts, range(first, first + count), width, shingle, percent))
+        links += _links(labelled, texts, range(first, first + count), width, shingle, percent)
         comp = components(reduce(DataFrame.unionByName, links))
         first += count
     classes = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
