@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,33 +22,43 @@ def _body(tenant: Column, seq: Column, kind: Column, ts: Column, payload: Column
     return F.concat_ws("\x1f", tenant.cast("string"), seq.cast("string"), kind, ts.cast("string"), payload, prev)
 
 
+_CHAINED = "tenant string, seq long, event_id string, kind string, ts string, payload string, prev_hash string, hash string"
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Link events sorted by tenant and seq: each hash covers the body and the hash before it."""
+    tenant, last = None, ""
+    for batch in batches:
+        prev, own = [], []
+        for t, tail, body in zip(*(batch.column(c).to_pylist() for c in (0, 6, 7))):
+            if t != tenant:
+                tenant, last = t, tail
+            prev.append(last)
+            last = hashlib.sha256(f"{body}\x1f{last}".encode()).hexdigest()
+            own.append(last)
+        columns = [*(batch.column(c) for c in range(6)), pa.array(prev, pa.string()), pa.array(own, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _CHAINED.split(", ")])
+
+
 def append(events: DataFrame, tails: DataFrame | None = None) -> DataFrame:
     """Chain new events (tenant, order columns ``ts``, ``event_id``; kind, payload) behind the tenants' tails.
 
-    seq has no gaps in a tenant; prev_hash and hash follow from a fold over the tenant's new events
-    in order. A tenant's batch is one task's work: the chain has no other order. The result is a
-    function of the input rows, so a retried batch writes the same rows.
+    seq has no gaps in a tenant. Events are sorted by tenant and streamed through one digest each, so a
+    tenant's batch is one task's time but never its memory: the chain has no other order. The result is
+    a function of the input rows, so a retried batch writes the same rows. Unknown kinds are an error.
     """
-    order = Window.partitionBy("tenant").orderBy("ts", "event_id")
-    rows = events.withColumn("__n", F.row_number().over(order) - 1)
+    known = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown event kind "), F.coalesce("kind", F.lit("null")))))
+    rows = events.withColumn("kind", known)
     if tails is None:
         rows = rows.withColumn("__next", F.lit(0).cast("long")).withColumn("__tail", F.lit(""))
     else:
         rows = rows.join(tails.select("tenant", F.col("next_seq").alias("__next"), F.col("tail_hash").alias("__tail")), "tenant", "left")
         rows = rows.withColumns({"__next": F.coalesce("__next", F.lit(0)), "__tail": F.coalesce("__tail", F.lit(""))})
-    rows = rows.withColumn("seq", F.col("__next") + F.col("__n"))
-    item = F.struct("seq", "event_id", "kind", "ts", "payload")
-    grouped = rows.groupBy("tenant", "__tail").agg(F.array_sort(F.collect_list(item)).alias("__e"))
-
-    def step(acc: Column, e: Column) -> Column:
-        prev = F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.col("__tail"))
-        digest = F.sha2(_body(F.col("tenant"), e["seq"], e["kind"], e["ts"], e["payload"], prev), 256)
-        return F.concat(acc, F.array(F.struct(prev.alias("prev_hash"), digest.alias("hash"))))
-
-    empty = F.array().cast("array<struct<prev_hash:string,hash:string>>")
-    chained = grouped.withColumn("__c", F.aggregate("__e", empty, step))
-    out = chained.select("tenant", F.explode(F.arrays_zip("__e", "__c")).alias("z"))
-    return out.select("tenant", "z.__e.seq", "z.__e.event_id", "z.__e.kind", "z.__e.ts", "z.__e.payload", "z.__c.prev_hash", "z.__c.hash")
+    order = Window.partitionBy("tenant").orderBy("ts", "event_id")
+    rows = rows.withColumn("seq", (F.col("__next") + F.row_number().over(order) - 1).cast("long"))
+    body = F.concat_ws("\x1f", "tenant", F.col("seq").cast("string"), "kind", F.col("ts").cast("string"), "payload")
+    rows = rows.select(F.col("tenant").cast("string"), "seq", "event_id", "kind", F.col("ts").cast("string"), "payload", "__tail", body.alias("__body"))
+    return rows.mapInArrow(_chain, _CHAINED)
 
 
 def tails(ledger: DataFrame) -> DataFrame:

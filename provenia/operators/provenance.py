@@ -107,6 +107,17 @@ def fold_proof(leaf: Column, proof: Column) -> Column:
     return F.aggregate(proof, leaf, lambda acc, s: F.when(s.startswith("L"), pair_hash(F.substring(s, 2, 64), acc)).otherwise(pair_hash(acc, F.substring(s, 2, 64))))
 
 
+def whole_parts(x: Column) -> Column:
+    """array<struct<text, start>>: the sentences of a text with the white space behind them, and the byte at which each starts; together they are the text."""
+    pieces = F.filter(F.regexp_extract_all(x, F.lit(r"(?s)(.*?[.!?]\s+|.+$)"), F.lit(1)), lambda p: p != "")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<text:string,start:bigint>>").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        return F.struct((s["at"] + F.octet_length(p)).cast("long").alias("at"), F.concat(s["out"], F.array(F.struct(p.alias("text"), s["at"].alias("start")))).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda s: s["out"])
+
+
 def redactable(documents: DataFrame, salt: str) -> DataFrame:
     """source_id, parts (array of text, nonce, hash) and root. Nonces derive from the salt, id and place, so they are minted once and retries agree."""
     parts = F.transform(T.sentences(F.col("text")), lambda p, i: F.struct(p.alias("text"), F.substring(F.sha2(F.concat_ws("|", F.lit(salt), F.col("source_id").cast("string"), i.cast("string")), 256), 1, 32).alias("nonce")))

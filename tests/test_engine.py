@@ -65,14 +65,90 @@ def test_export_restore_and_refusals(spark, store, tmp_path):
             snapshot.read(spark, str(tmp_path / "bad.json"))
 
 
+def _files_with(folder, word):
+    return [str(p) for p in folder.rglob("*") if p.is_file() and word in p.read_bytes().lower()]
+
+
+def test_texts_and_names_are_not_in_the_store(store):
+    from pathlib import Path
+
+    assert _files_with(Path(store.folder), b"acme") == [] and _files_with(Path(store.folder), b"ent_maya") == []
+    assert not any("salt" in p.name or "key" in p.name for p in Path(store.folder).rglob("*"))
+
+
 def test_forget(spark, store):
-    certificate = store.forget("Bob Ross")
-    signature = certificate.pop("signature")
-    assert store.signer.verify(certificate, signature) and certificate["claims_after"] == certificate["claims_before"] - 1
+    from pathlib import Path
+
+    certificate = store.forget("Ross")
+    signature, _ = certificate.pop("signature"), certificate.pop("scheme")
+    assert store.signer.verify(certificate, signature) and certificate["claims_after"] == certificate["claims_before"] - 1 and certificate["key_destroyed"]
     assert store.claims().filter(F.col("claim").contains("Bob")).count() == 0 and store.claims().filter(F.col("claim").contains("Maya")).count() == 2
-    assert store.verify_ledger().count() == 0
-    store.remember(spark.createDataFrame([("Bob Ross lives in Oslo near the hotel.", "Bob Ross lives in Oslo near the hotel.", "notes.txt")], "claim string, evidence string, source_id string"), "s9")
+    source = store.sources().first()
+    assert "Bob" not in source["text"] and EN.ERASED in source["text"] and "Maya Lin owns a dog" in source["text"] and not source["whole"]
+    assert {r["outcome"] for r in store.verify_receipts().collect()} == {"verified"} and {r["trace"] for r in store.trace_evidence().collect()} == {"TRACED"}
+    assert store.verify_ledger().count() == 0 and _files_with(Path(store.folder), b"bob") == [] and _files_with(Path(store.keys), b"bob") == []
+    # No version of the keys that opens an erased text is left.
+    assert store._objects("part:", EN.PART, erased=True).filter(F.col("text").contains("Bob")).count() == 0
+    again = spark.createDataFrame([("Bob Ross lives in Oslo near the hotel.", "Bob Ross lives in Oslo near the hotel.", "notes.txt")], "claim string, evidence string, source_id string")
+    assert store.remember(again, "s9").first()["reason"] == "erased_subject"
     assert store.claims().filter(F.col("claim").contains("Bob")).count() == 0
+    store.remember(again, "s10", acknowledge_erasure=True)
+    assert store.claims().filter(F.col("claim").contains("Bob")).count() == 1
+
+
+def test_tampering_is_found(spark, store):
+    head = store.registered()
+    bad = head.withColumn("hashes", F.transform("hashes", lambda h: F.when(h == F.element_at("hashes", 1), F.sha2(h, 256)).otherwise(h)))
+    store_registered, store.registered = store.registered, lambda: bad
+    assert "verified" not in {r["outcome"] for r in store.verify_receipts().collect()}
+    store.registered = store_registered
+
+
+def test_repeated_batches_change_nothing(spark, tmp_path):
+    """Calls repeated under their batch name, also after a crash between keys, place and events."""
+    e = EN.Engine(spark, str(tmp_path / "s"), audit_reads=True)
+    docs = spark.createDataFrame([("n.txt", TEXT)], "source_id string, text string")
+    for _ in range(2):
+        e.add_source(docs, batch="b1")
+    rows = e.ledger().count()
+    claims = spark.createDataFrame([("Maya Lin works for Acme and is at the office.", "Maya Lin works for Acme and is at the office.", "n.txt")], "claim string, evidence string, source_id string")
+    before = logs.append_ledger
+    logs.append_ledger = lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        e.remember(claims, "s1")
+    logs.append_ledger = before
+    assert e.ledger().count() == rows and e.verify_ledger().count() == 0
+    e.remember(claims, "s1")
+    assert e.ledger().count() == rows + 1 and e.verify_ledger().count() == 0 and {r["outcome"] for r in e.verify_receipts().collect()} == {"verified"}
+    with pytest.raises(EN.VersionConflict):
+        e.remember(claims, "s1")
+    e.remember(claims, "s2")
+    assert e.ledger().filter("kind = 'REINFORCE'").count() == 1 and e.claims().count() == 1
+    e.recall(spark.createDataFrame([(1, "Which office does Maya Lin use?"), (2, "Where does Zed Quill live?")], "question_id long, question string")).collect()
+    assert tuple(e.review_reads()["totals"].first()) == (1, 1) and "Zed" not in str(e.review_reads()["heads"].collect())
+
+
+def test_two_writers_of_one_place_fail_loudly(spark, tmp_path):
+    e = EN.Engine(spark, str(tmp_path / "s"))
+    logs.claim_place(spark, f"{e.folder}/ledger", e.tenant, 0, "someone-else")
+    with pytest.raises(logs.LedgerConflict):
+        e.add_source(spark.createDataFrame([("n.txt", TEXT)], "source_id string, text string"), batch="mine")
+    assert e.ledger().count() == 0
+
+
+def test_unknown_kinds_are_refused(spark):
+    with pytest.raises(Exception, match="unknown event kind"):
+        L.append(spark.createDataFrame([("t", "1", "e", "ADD_NOISE", "{}")], "tenant string, ts string, event_id string, kind string, payload string")).collect()
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text("ab .!?\n é", max_size=30), max_size=4))
+def test_whole_parts_are_the_text(spark, texts):
+    from provenia.operators import provenance as P
+
+    rows = spark.createDataFrame([(t,) for t in texts] or [("",)], "t string").select("t", P.whole_parts(F.col("t")).alias("p")).collect()
+    for r in rows:
+        assert "".join(p["text"] for p in r["p"]) == r["t"] and all(r["t"].encode()[p["start"] :].startswith(p["text"].encode()) for p in r["p"])
 
 
 def test_conformance_finds_faults(spark):
