@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .collapse import collapse
 from .ledger import canonical
 
 
@@ -41,7 +42,7 @@ def field_expand(relations: DataFrame, seeds: DataFrame, types: tuple[str, ...]
     return found.select(F.col("other").alias("node_id"), "a.anchor", "a.relation_type").join(seeds.select("node_id"), "node_id", "left_anti")
 
 
-def co_occurs(claim_entity: DataFrame, salts: int = 1) -> DataFrame:
+def co_occurs(claim_entity: DataFrame) -> DataFrame:
     """Unordered pairs of entities in one claim, source before target, with the number of claims."""
     a, b = claim_entity.select("node_id", F.col("entity_id").alias("source_id")), claim_entity.select("node_id", F.col("entity_id").alias("target_id"))
     return a.join(b, "node_id").filter("source_id < target_id").groupBy("source_id", "target_id").agg(F.countDistinct("node_id").alias("weight"))
@@ -69,13 +70,17 @@ def all_before_edges(claims: DataFrame, claim_entity: DataFrame) -> DataFrame:
 def related(claims: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """For each query row (query_id, text, domains) the k active claims of a shared domain with the highest white-space Jaccard.
 
-    Candidates come from an equi-join on exploded domains and tokens, never from a nested loop.
+    Claims that no query can tell apart are one group with its k first members; queries meet groups in
+    equi-joins on exploded tokens, whose counts give the Jaccard.
     """
-    left = queries.select("query_id", T.space_tokens(F.col("text")).alias("qt"), F.explode("domains").alias("domain"))
-    right = claims.filter("memory_state = 'active'").select("node_id", T.space_tokens(F.col("claim")).alias("ct"), F.explode("domains").alias("domain"))
-    pairs = left.withColumn("token", F.explode("qt")).join(right.withColumn("token", F.explode("ct")), ["domain", "token"])
-    pairs = pairs.groupBy("query_id", "node_id").agg(F.first("qt").alias("qt"), F.first("ct").alias("ct"))
-    pairs = pairs.withColumn("score", T.jaccard(F.col("qt"), F.col("ct"))).filter("score > 0")
+    q = queries.select("query_id", T.space_tokens(F.col("text")).alias("t"), F.col("domains").alias("qd")).withColumn("nq", F.size("t"))
+    c = claims.filter("memory_state = 'active' and size(domains) > 0").select("node_id", T.space_tokens(F.col("claim")).alias("t"), F.array_sort("domains").alias("cd")).withColumn("nc", F.size("t"))
+    groups, members = collapse(c, q.select(F.explode("t").alias("token")).distinct(), ["nc", "cd"], [], k)
+    both = q.select("query_id", F.explode("t").alias("token")).join(groups.select("gid", F.explode("asked").alias("token")), "token").groupBy("query_id", "gid").agg(F.count("*").alias("both"))
+    pairs = both.join(q.drop("t"), "query_id").join(groups.select("gid", "nc", "cd"), "gid").filter(F.arrays_overlap("qd", "cd"))
+    pairs = pairs.withColumn("score", F.col("both") / (F.col("nq") + F.col("nc") - F.col("both")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "gid"))
+    pairs = pairs.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "gid", "score").join(members, "gid")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "node_id", "score")
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from .collapse import collapse
 
 # Weights and thresholds.
-W_LEXICAL, W_ENTITY, W_REINFORCE, W_SIGNIFICANCE = 0.55, 0.40, 0.05, 0.10
+W_LEXICAL, W_ENTITY, W_REINFORCE = 0.55, 0.40, 0.05
 LIMIT, GUARD, DF_CAP = 10, 0.05, 0.5
 ABSTAIN_JACCARD, ABSTAIN_RELAXED, ABSTAIN_COVERAGE = 0.12, 0.05, 0.6
 
@@ -89,24 +95,98 @@ def in_window(event_time: Column, window: Column) -> Column:
 def retrieve(questions: DataFrame, claims: DataFrame, claim_entity: DataFrame, question_entity: DataFrame, k: int = LIMIT) -> DataFrame:
     """Scored candidates of each question: question_id, rank, node_id, score, jaccard, coverage, entity_precision.
 
-    Candidates share a scoring token or an entity with the question: two equi-joins, whose counts
-    give the set sizes, so no token array travels through a join. A question with entities needs an
-    entity or a Jaccard of ``GUARD``.
+    Candidates share a scoring token or an entity with the question: two equi-joins with groups of
+    claims that the questions cannot tell apart. A question with entities needs an entity or a Jaccard
+    of ``GUARD``. Optional columns of the questions filter the candidates before the ranking, in this
+    order: ``window`` (struct of dates, against the claims' event_time), ``negative`` (boolean, against
+    polarity: negative claims alone, unless there is none), ``domains`` (against the claims' domains:
+    a shared one, none at all, or a Jaccard over ``GUARD``).
     """
-    q = questions.select("question_id", T.scoring_tokens(F.col("question")).alias("t")).withColumn("nq", F.size("t"))
-    c = claims.select("node_id", "r", T.scoring_tokens(F.col("normalized")).alias("t")).withColumn("nc", F.size("t"))
-    shared = q.select("question_id", F.explode("t").alias("token")).join(c.select("node_id", F.explode("t").alias("token")), "token").groupBy("question_id", "node_id").agg(F.count("*").alias("both"))
-    named = question_entity.join(claim_entity.select("node_id", "entity_id").distinct(), "entity_id").groupBy("question_id", "node_id").agg(F.count("*").alias("hits"))
+    filters = {"window": "event_time", "negative": "polarity", "domains": "claim_domains"}
+    given = {f: c for f, c in filters.items() if f in questions.columns}
+    q = questions.select("question_id", *given, T.scoring_tokens(F.col("question")).alias("t")).withColumn("nq", F.size("t"))
+    own = [F.array_sort("domains").alias("claim_domains") if c == "claim_domains" else F.col(c) for c in given.values()]
+    c = claims.select("node_id", "r", *own, T.scoring_tokens(F.col("normalized")).alias("t")).withColumn("nc", F.size("t"))
+    bridge = claim_entity.select("node_id", "entity_id").distinct()
+    met = bridge.join(question_entity.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("node_id").agg(F.array_sort(F.collect_set("entity_id")).alias("met"))
+    by = ["met", "nc", *given.values()]
+    groups, members = collapse(c.join(met, "node_id", "left"), q.select(F.explode("t").alias("token")).distinct(), by, [F.desc("r")], k)
+    shared = q.select("question_id", F.explode("t").alias("token")).join(groups.select("gid", F.explode("asked").alias("token")), "token").groupBy("question_id", "gid").agg(F.count("*").alias("both"))
+    named = question_entity.join(groups.select("gid", F.explode("met").alias("entity_id")), "entity_id").groupBy("question_id", "gid").agg(F.count("*").alias("hits"))
     asked = question_entity.groupBy("question_id").agg(F.count("*").alias("ne"))
-    pairs = shared.join(named, ["question_id", "node_id"], "full")
-    pairs = pairs.join(q.drop("t"), "question_id").join(c.drop("t"), "node_id").join(asked, "question_id", "left").na.fill(0, ["both", "hits", "ne"])
+    pairs = shared.join(named, ["question_id", "gid"], "full")
+    pairs = pairs.join(q.drop("t"), "question_id").join(groups.select("gid", "r", "nc", *given.values()), "gid").join(asked, "question_id", "left").na.fill(0, ["both", "hits", "ne"])
     pairs = pairs.withColumn("jaccard", F.when((F.col("nq") == 0) | (F.col("nc") == 0), 0.0).otherwise(F.col("both") / (F.col("nq") + F.col("nc") - F.col("both"))))
     pairs = pairs.withColumn("coverage", F.when(F.col("nq") == 0, 0.0).otherwise(F.col("both") / F.col("nq")))
     pairs = pairs.withColumn("entity_precision", F.when(F.col("ne") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("hits") / F.col("ne"))))
     pairs = pairs.filter((F.col("ne") == 0) | (F.col("hits") > 0) | (F.col("jaccard") >= GUARD))
-    pairs = pairs.withColumn("score", W_LEXICAL * F.greatest("jaccard", "coverage") + W_ENTITY * F.col("entity_precision") + W_REINFORCE * F.col("r"))
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "node_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("question_id", "rank", "node_id", "score", "jaccard", "coverage", "entity_precision")
+    if "window" in given:
+        pairs = pairs.filter(in_window(F.col("event_time"), F.col("window")))
+    if "negative" in given:
+        pairs = polarity_filter(pairs, "negative")
+    if "domains" in given:
+        pairs = pairs.filter((F.size("domains") == 0) | (F.size("claim_domains") == 0) | F.arrays_overlap("claim_domains", "domains") | (F.col("jaccard") > GUARD))
+    pairs = pairs.withColumn("base", W_LEXICAL * F.greatest("jaccard", "coverage") + W_ENTITY * F.col("entity_precision"))
+    return _best(pairs, members, W_REINFORCE, k, "jaccard", "coverage", "entity_precision")
+
+
+def _best(pairs: DataFrame, members: DataFrame, weight: float, k: int, *columns: str) -> DataFrame:
+    """The k best members for each question by base + weight * r, ties by node id: k groups by their first member hold them."""
+    score = F.col("base") + weight * F.col("r")
+    group = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(F.round(score, 9)), "gid"))
+    rows = pairs.withColumn("place", group).filter(F.col("place") <= k).select("question_id", "gid", "base", *columns).join(members, "gid").withColumn("score", score)
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "node_id"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("question_id", "rank", "node_id", "score", *columns)
+
+
+def parsed(questions: DataFrame, anchor: Column) -> DataFrame:
+    """Questions with the columns by which ``retrieve`` filters: window (relative to the date ``anchor``), negative, domains."""
+    x = F.col("question")
+    return questions.withColumns({"window": T.window_of(x, anchor), "negative": T.is_negated(x), "domains": T.domains(x)})
+
+
+def relevant(ranked: DataFrame) -> DataFrame:
+    """Results without those that share neither a word nor an entity with their question, unless that leaves none."""
+    good = (F.col("jaccard") > 0) | (F.col("entity_precision") > 0)
+    any_ = F.max(good.cast("int")).over(Window.partitionBy("question_id"))
+    return ranked.withColumn("__any", any_).filter(good | (F.col("__any") == 0)).drop("__any")
+
+
+def expand(ranked: DataFrame, questions: DataFrame, claims: DataFrame, claim_entity: DataFrame, question_entity: DataFrame, relations: DataFrame | None = None, k: int = LIMIT) -> DataFrame:
+    """The second list of each question: neighbours of its results, ranked as results are: question_id, rank, node_id, score, via, anchor.
+
+    Neighbours share an entity with a result (``via`` entity) and a domain with any of its results, or
+    have none; ``relations`` adds those one typed edge away (``via`` the edge's type), whatever their
+    domain. Windows and negative questions filter them too. The anchor is the best-ranked result that
+    leads there.
+    """
+    seeds = ranked.select("question_id", F.col("node_id").alias("seed"), "rank")
+    bridge = claim_entity.select("node_id", "entity_id").distinct()
+    reach = seeds.join(bridge.withColumnRenamed("node_id", "seed"), "seed").groupBy("question_id", "entity_id").agg(F.min(F.struct("rank", F.col("seed").alias("anchor"))).alias("a"))
+    found = reach.join(bridge, "entity_id").groupBy("question_id", "node_id").agg(F.min("a").alias("a"))
+    every = ranked.join(claims.select("node_id", F.explode("domains").alias("d")), "node_id").groupBy("question_id").agg(F.collect_set("d").alias("matched"))
+    found = found.join(every, "question_id", "left").join(claims.select("node_id", F.col("domains").alias("own")), "node_id")
+    found = found.filter((F.size("own") == 0) | F.arrays_overlap("own", "matched")).select("question_id", "node_id", F.lit("entity").alias("via"), "a")
+    if relations is not None:
+        edges = relations.filter(F.col("relation_type").isin("causes", "motivates", "before"))
+        both = edges.select(F.col("source_id").alias("seed"), F.col("target_id").alias("node_id"), "relation_type").unionByName(edges.select(F.col("target_id").alias("seed"), F.col("source_id").alias("node_id"), "relation_type"))
+        typed = seeds.join(both, "seed").groupBy("question_id", "node_id").agg(F.min(F.struct(F.struct("rank", F.col("seed").alias("anchor")).alias("a"), "relation_type")).alias("b"))
+        found = found.unionByName(typed.select("question_id", "node_id", F.col("b.relation_type").alias("via"), F.col("b.a").alias("a")))
+        found = found.groupBy("question_id", "node_id").agg(F.min_by("via", F.col("via") != "entity").alias("via"), F.min("a").alias("a"))
+    found = found.join(ranked.select("question_id", "node_id"), ["question_id", "node_id"], "left_anti")
+    asked = question_entity.groupBy("question_id").agg(F.collect_set("entity_id").alias("qe"))
+    q = questions.withColumn("qt", T.scoring_tokens(F.col("question"))).join(asked, "question_id", "left")
+    of = bridge.groupBy("node_id").agg(F.collect_set("entity_id").alias("ce"))
+    rows = found.join(q, "question_id").join(claims.drop("domains"), "node_id").join(of, "node_id", "left")
+    if "window" in questions.columns:
+        rows = rows.filter(in_window(F.col("event_time"), F.col("window")))
+    if "negative" in questions.columns:
+        rows = polarity_filter(rows, "negative")
+    ct = T.scoring_tokens(F.col("normalized"))
+    entity = F.when(F.col("qe").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.size(F.array_intersect("qe", F.coalesce("ce", F.array().cast("array<string>")))) / F.size("qe")))
+    rows = rows.withColumn("score", W_LEXICAL * F.greatest(T.jaccard(F.col("qt"), ct), T.coverage(F.col("qt"), ct)) + W_ENTITY * entity + W_REINFORCE * F.col("r"))
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "node_id"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("question_id", "rank", "node_id", "score", "via", F.col("a.anchor").alias("anchor"))
 
 
 def lexical_abstain(results: DataFrame) -> DataFrame:
@@ -116,31 +196,42 @@ def lexical_abstain(results: DataFrame) -> DataFrame:
     return best.withColumn("abstain", (F.col("jaccard") < bar) & (F.col("coverage") < ABSTAIN_COVERAGE))
 
 
-def gate(questions: DataFrame, claims: DataFrame, claim_entity: DataFrame, question_entity: DataFrame, entities: DataFrame) -> DataFrame:
+def gate(questions: DataFrame, claims: DataFrame, claim_entity: DataFrame, question_entity: DataFrame, entities: DataFrame, typed_miss_refuses: bool = False) -> DataFrame:
     """Per question: abstain, reason (answerable, entity_not_found, no_evidence, unknown_predicate), head and its status.
 
-    A head grounded anywhere in the store answers; else the claims of the named subject decide, by
-    slot or by a concrete word for a general one.
+    A head grounded anywhere in the store answers; else the claims of the named subject decide, by slot
+    or by a concrete word for a general one in the subject's own words. Only questions without a known
+    subject look for concrete words in the whole store. ``typed_miss_refuses``: where the subject has
+    typed claims and none of the slot asked for, concrete words do not help.
     """
     n = claims.count()
     vocab = vocabulary(claims)
     d = questions.withColumn("d", demand(F.col("question"))).select("question_id", "question", F.col("d.wh").alias("wh"), F.col("d.head").alias("head"))
     stat = status(d.filter(F.col("head").isNotNull()).select("question_id", F.col("head").alias("token")), vocab, max(n, 1)).select("question_id", "status")
-    slots = claim_entity.select("node_id", "entity_id").distinct().join(claims.select("node_id", "slot").filter("slot is not null"), "node_id").select("entity_id", "slot").distinct()
-    typed = question_entity.join(slots, "entity_id").select("question_id", "slot").distinct().withColumn("typed_hit", F.lit(True))
-    pairs = [(g, w) for g, ws in V.HYPONYMS.items() for w in ws]
-    concrete = questions.sparkSession.createDataFrame(pairs, "head string, token string").join(vocab, "token").groupBy("head").agg(F.min("token").alias("hyponym"))
+    bridge = claim_entity.select("node_id", "entity_id").distinct()
+    slots = bridge.join(claims.select("node_id", "slot").filter("slot is not null"), "node_id").select("entity_id", "slot").distinct()
+    asked_slots = question_entity.join(slots, "entity_id").select("question_id", "slot").distinct()
+    typed, covered = asked_slots.withColumn("typed_hit", F.lit(True)), asked_slots.select("question_id").distinct().withColumn("has_typed", F.lit(True))
+    pairs = questions.sparkSession.createDataFrame([(g, w) for g, ws in V.HYPONYMS.items() for w in ws], "head string, token string")
+    anywhere = pairs.join(vocab, "token").groupBy("head").agg(F.min("token").alias("anywhere"))
+    concrete = sorted({w for ws in V.HYPONYMS.values() for w in ws})
+    said = claims.select("node_id", F.explode(F.array_distinct(T.gate_tokens(F.col("normalized")))).alias("token")).filter(F.col("token").isin(*concrete))
+    about = said.join(bridge, "node_id").select("entity_id", "token").distinct().join(question_entity, "entity_id").select("question_id", "token").distinct()
+    about = about.join(pairs, "token").groupBy("question_id", "head").agg(F.min("token").alias("own_word"))
     named = F.size(F.filter(T.candidate_names(F.regexp_replace(F.col("question"), r"^\S+\s*", "")), lambda x: x != "")) > 0
-    known = question_entity.select("question_id").distinct().withColumn("has_subject", F.lit(True))
+    known = question_entity.join(bridge.select("entity_id").distinct().withColumn("spoken", F.lit(True)), "entity_id", "left").groupBy("question_id").agg(F.lit(True).alias("has_subject"), F.max("spoken").alias("has_claims"))
     out = d.join(stat, "question_id", "left").join(known, "question_id", "left").withColumn("slot", slot_of_head(F.col("head")))
-    out = out.join(typed, ["question_id", "slot"], "left").join(concrete, "head", "left")
+    out = out.join(typed, ["question_id", "slot"], "left").join(covered, "question_id", "left").join(anywhere, "head", "left").join(about, ["question_id", "head"], "left")
+    word = F.when(F.col("has_claims"), F.col("own_word")).otherwise(F.col("anywhere"))
+    if typed_miss_refuses:
+        word = F.when(F.col("has_typed") & F.col("slot").isNotNull(), None).otherwise(word)
     reason = (
         F.when(named & F.col("has_subject").isNull(), "entity_not_found")
         .when(F.col("head").isNull(), "answerable")
         .when(F.lit(n == 0), "no_evidence")
         .when(F.col("status") != "ungrounded", "answerable")
         .when(F.col("typed_hit"), "answerable")
-        .when(F.col("hyponym").isNotNull(), "answerable")
+        .when(word.isNotNull(), "answerable")
         .otherwise("unknown_predicate")
     )
     return out.withColumn("reason", reason).withColumn("abstain", F.col("reason") != "answerable").select("question_id", "wh", "head", "status", "abstain", "reason")
@@ -162,13 +253,55 @@ def some_entities(entities: DataFrame, n: int = 5) -> DataFrame:
 
 def simple_score(questions: DataFrame, claims: DataFrame, k: int = 10, least_r: float = 0.0) -> DataFrame:
     """The plain scorer: 0.4 Jaccard of words + 0.3 Jaccard of domains + 0.3 reinforcement, over claims that share a word."""
-    q = questions.select("question_id", T.scoring_tokens(F.col("question")).alias("qt"), T.domains(F.col("question")).alias("qd"))
-    c = claims.filter(F.col("r") >= least_r).select("node_id", "r", T.scoring_tokens(F.col("claim")).alias("ct"), T.domains(F.col("claim")).alias("cd"))
-    hit = q.select("question_id", F.explode("qt").alias("token")).join(c.select("node_id", F.explode("ct").alias("token")), "token").select("question_id", "node_id").distinct()
-    rows = hit.join(q, "question_id").join(c, "node_id")
-    rows = rows.withColumn("score", 0.4 * T.jaccard(F.col("qt"), F.col("ct")) + 0.3 * T.jaccard(F.col("qd"), F.col("cd")) + 0.3 * F.col("r"))
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "node_id"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("question_id", "rank", "node_id", "score")
+    q = questions.select("question_id", T.scoring_tokens(F.col("question")).alias("t"), T.domains(F.col("question")).alias("qd")).withColumn("nq", F.size("t"))
+    c = claims.filter(F.col("r") >= least_r).select("node_id", "r", T.scoring_tokens(F.col("claim")).alias("t"), T.domains(F.col("claim")).alias("cd")).withColumn("nc", F.size("t"))
+    groups, members = collapse(c, q.select(F.explode("t").alias("token")).distinct(), ["nc", "cd"], [F.desc("r")], k)
+    pairs = q.select("question_id", F.explode("t").alias("token")).join(groups.select("gid", F.explode("asked").alias("token")), "token").groupBy("question_id", "gid").agg(F.count("*").alias("both"))
+    pairs = pairs.join(q.drop("t"), "question_id").join(groups.select("gid", "r", "nc", "cd"), "gid")
+    pairs = pairs.withColumn("base", 0.4 * F.col("both") / (F.col("nq") + F.col("nc") - F.col("both")) + 0.3 * T.jaccard(F.col("qd"), F.col("cd")))
+    return _best(pairs, members, 0.3, k)
+
+
+def top_cosine(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """(query_id, vec_id, rank): the k vectors of highest cosine (rounded to nine places, ties by id) for every query row, itself left out.
+
+    Queries are taken in blocks of ``block``: one block at a time is broadcast and meets all vectors in
+    numpy; a task keeps k results for each query.
+    """
+    spark = vectors.sparkSession
+    form = lambda df: df.filter(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    rows, asked = form(vectors), form(vectors.filter(is_query))
+    blocks, found = max(1, -(-asked.count() // block)), []
+    for b in range(blocks):
+        table = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
+        own = spark.sparkContext.broadcast((table.column(0).to_numpy(), _unit(table.column(1))) if table.num_rows else None)
+
+        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+            if own.value is None:
+                return
+            ids, q = own.value
+            best, names = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+            for batch in batches:
+                if batch.num_rows:
+                    at = batch.column(0).to_numpy(zero_copy_only=False)
+                    s = np.round(q @ _unit(batch.column(1)).T, 9)
+                    s[ids[:, None] == at[None, :]] = -np.inf
+                    both, every = np.column_stack([best, s]), np.column_stack([names, np.broadcast_to(at, s.shape)])
+                    place = np.lexsort((every, -both), axis=1)[:, :k]
+                    best, names = np.take_along_axis(both, place, 1), np.take_along_axis(every, place, 1)
+            real = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[real]), pa.array(names[real]), pa.array(best[real])], names=["query_id", "vec_id", "s"])
+
+        found.append(rows.mapInArrow(run, "query_id long, vec_id long, s double"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank")
+
+
+def _unit(vectors: pa.Array) -> np.ndarray:
+    """Rows of unit length of a column of equally long vectors."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
 
 
 def bundle_hits(claims: DataFrame, bundles: DataFrame, least: int = 2) -> DataFrame:

@@ -149,7 +149,7 @@ _EDGES = "e AS (SELECT l_orderkey AS source_id, l_suppkey + 100000000 AS target_
 
 
 @query(
-    f"""WITH {_EDGES}, s AS (SELECT o_orderkey AS n, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 50),
+    f"""WITH {_EDGES}, s AS (SELECT o_orderkey AS n, -o_totalprice AS rank FROM orders),
         b AS (SELECT source_id AS n, target_id AS o, t FROM e WHERE t <> 'supports' UNION ALL SELECT target_id, source_id, t FROM e WHERE t <> 'supports'),
         r AS (SELECT o, n, t, row_number() OVER (PARTITION BY o ORDER BY rank, n, t) AS k FROM b JOIN s USING (n))
         SELECT o AS node_id, n AS anchor, t AS relation_type FROM r WHERE k = 1 AND o NOT IN (SELECT n FROM s)"""
@@ -158,8 +158,7 @@ def field_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     k = F.col("l_linenumber") % 4
     edges = l.select(F.col("l_orderkey").alias("source_id"), (F.col("l_suppkey") + 100000000).alias("target_id"), F.when(k == 0, "causes").when(k == 1, "motivates").when(k == 2, "before").otherwise("supports").alias("relation_type"))
-    top = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
-    seeds = top.select(F.col("o_orderkey").alias("node_id"), F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
+    seeds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), (-F.col("o_totalprice")).alias("rank"))
     return GR.field_expand(edges, seeds)
 
 
@@ -223,15 +222,16 @@ def supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_C}, x AS (SELECT node_id, claim, memory_state, {S.domains('claim')} AS d, {S.space('claim')} AS t FROM c WHERE seq <= 2000),
-        q AS (SELECT node_id AS query_id, d, t FROM x WHERE node_id IN ('n1', 'n2', 'n3', 'n4', 'n5', 'n6', 'n7', 'n8')),
-        s AS (SELECT query_id, x.node_id, {S.jaccard('q.t', 'x.t')} AS score FROM q JOIN x ON list_has_any(q.d, x.d) WHERE memory_state = 'active')
+    f"""WITH {_C}, x AS (SELECT seq, node_id, claim, memory_state, {S.domains('claim')} AS d, {S.space('claim')} AS t FROM c),
+        g AS (SELECT list_sort(t) AS t, list_sort(d) AS d, list_sort(list(node_id))[1:5] AS members FROM x WHERE memory_state = 'active' GROUP BY ALL),
+        q AS (SELECT node_id AS query_id, d, t FROM x WHERE seq % 20 = 0),
+        s AS (SELECT query_id, unnest(members) AS node_id, {S.jaccard('q.t', 'g.t')} AS score FROM q JOIN g ON list_has_any(q.d, g.d))
         SELECT query_id, node_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5"""
 )
 def related_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most alike active claims of a shared domain, for eight claims of the first 2,000."""
-    c = templated(spark, sf_dir).filter("seq <= 2000").withColumn("domains", T.domains(F.col("claim")))
-    asked = c.filter(F.col("node_id").isin(*[f"n{i}" for i in range(1, 9)])).select(F.col("node_id").alias("query_id"), F.col("claim").alias("text"), "domains")
+    """The five most alike active claims of a shared domain, for every claim whose number is divisible by 20."""
+    c = templated(spark, sf_dir).withColumn("domains", T.domains(F.col("claim")))
+    asked = c.filter("seq % 20 = 0").select(F.col("node_id").alias("query_id"), F.col("claim").alias("text"), "domains")
     return GR.related(c, asked).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -258,12 +258,12 @@ def vocab_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RT.status(tokens, vocab, n).groupBy("item_id", "status").agg(F.count("*").alias("tokens"))
 
 
-_QUESTIONS = """q AS (SELECT c_custkey AS question_id, concat('Q', translate(cast(c_custkey AS varchar), '0123456789', 'abcdefghij')) AS name FROM customer WHERE c_custkey % 10 = 3)"""
+_QUESTIONS = """q AS (SELECT c_custkey AS question_id, concat('Q', translate(cast(c_custkey AS varchar), '0123456789', 'abcdefghij')) AS name FROM customer WHERE c_custkey % 20 = 0)"""
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A question about every tenth customer, and the subject each names."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 3")
+    """A question about every twentieth customer, and the subject each names."""
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 20 = 0")
     name = F.concat(F.lit("Q"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"))
     q = c.select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("Which tea does "), name, F.lit(" like?")).alias("question"), name.alias("entity_id"))
     return q.select("question_id", "question"), q.select("question_id", "entity_id")
@@ -287,36 +287,32 @@ def templated_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_C}, q AS (SELECT c_custkey AS question_id, concat('Q', translate(cast(c_custkey AS varchar), '0123456789', 'abcdefghij')) AS name, c_custkey % 5 AS k FROM customer WHERE c_custkey % 10 < 5),
-        live AS (SELECT * FROM c WHERE memory_state IN ('active', 'disputed')), own AS (SELECT subject, slot FROM live WHERE slot IS NOT NULL UNION SELECT place, slot FROM live WHERE slot IS NOT NULL)
+    f"""WITH {_C}, q AS (SELECT c_custkey AS question_id, concat('Q', translate(cast(c_custkey AS varchar), '0123456789', 'abcdefghij')) AS name, c_custkey % 5 AS k FROM customer),
+        live AS (SELECT * FROM c WHERE memory_state IN ('active', 'disputed'))
         SELECT question_id, CASE k WHEN 0 THEN 'employer' WHEN 1 THEN 'pet' WHEN 2 THEN 'tea' WHEN 3 THEN 'xylophone' ELSE 'animal' END AS head,
-            CASE WHEN k = 2 OR k = 4 THEN 'answerable' WHEN k = 3 THEN 'unknown_predicate' WHEN EXISTS (SELECT 1 FROM own WHERE subject = name AND slot = CASE k WHEN 0 THEN 'employer' ELSE 'pet' END) THEN 'answerable' ELSE 'unknown_predicate' END AS reason FROM q"""
+            CASE WHEN name NOT IN (SELECT subject FROM live UNION SELECT place FROM live) THEN CASE k WHEN 2 THEN 'answerable' WHEN 4 THEN 'answerable' ELSE 'unknown_predicate' END
+                WHEN k = 2 THEN 'answerable' WHEN k = 3 THEN 'unknown_predicate'
+                WHEN EXISTS (SELECT 1 FROM live WHERE (subject = name OR place = name) AND CASE k WHEN 0 THEN slot = 'employer' WHEN 1 THEN slot = 'pet' ELSE regexp_matches(lower(claim), '\\b(cat|dog|horse)\\b') END) THEN 'answerable' ELSE 'unknown_predicate' END AS reason FROM q"""
 )
 def templated_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five kinds of questions: by typed slot, by a word of the store, unknown, and by a hypernym."""
+    """Five kinds of questions about every customer: by typed slot (two), by a word of the store, unknown, and by a general word for one of the subject's own."""
     c, bridge = _store(spark, sf_dir)
     live = c.filter("memory_state in ('active', 'disputed')").select("node_id", T.normalize(F.col("claim")).alias("normalized"), F.lit("unknown").alias("lemma"), F.lit(None).cast("string").alias("object"), "slot")
     k = F.col("c_custkey") % 5
     head = F.when(k == 0, "employer").when(k == 1, "pet").when(k == 2, "tea").when(k == 3, "xylophone").otherwise("animal")
     name = F.concat(F.lit("Q"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"))
-    q = table(spark, sf_dir, "customer").filter("c_custkey % 10 < 5").select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("Which "), head, F.lit(" does "), name, F.lit(" have?")).alias("question"), name.alias("entity_id"))
+    q = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("Which "), head, F.lit(" does "), name, F.lit(" have?")).alias("question"), name.alias("entity_id"))
     entities = bridge.select("entity_id").distinct()
     return RT.gate(q.select("question_id", "question"), live, bridge, q.select("question_id", "entity_id"), entities).select("question_id", "head", "reason")
 
 
 @query(
     """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS s
-        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0) SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 )
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stand-in for an encoder: cosine neighbours of every fiftieth vector."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    v = v.withColumn("n", F.sqrt(dot(F.col("e"), F.col("e"))))
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("n").alias("qn"))
-    pairs = v.join(q, F.col("vec_id") != F.col("query_id")).withColumn("s", F.round(dot(F.col("e"), F.col("qe")) / (F.col("n") * F.col("qn")), 9))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))
-    return pairs.withColumn("rank", rank.cast("long")).filter("rank <= 5").select("query_id", "vec_id", "rank")
+    """A stand-in for an encoder: cosine neighbours of every twentieth vector."""
+    return RT.top_cosine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 # --- memory over events ------------------------------------------------------------------------------------------------
@@ -475,15 +471,15 @@ def ledger_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_EDGES}, s AS (SELECT o_orderkey AS n FROM orders WHERE o_orderkey % 100 = 1 UNION ALL SELECT s_suppkey + 100000000 FROM supplier WHERE s_suppkey % 10 = 3)
+    f"""WITH {_EDGES}, s AS (SELECT o_orderkey AS n FROM orders UNION ALL SELECT s_suppkey + 100000000 FROM supplier)
         SELECT t AS relation_type, count(*) AS relations FROM (SELECT DISTINCT * FROM e WHERE source_id IN (SELECT n FROM s) OR target_id IN (SELECT n FROM s)) GROUP BY t"""
 )
 def relations_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_linenumber") % 4
     kind = F.when(k == 0, "causes").when(k == 1, "motivates").when(k == 2, "before").otherwise("supports")
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_id"), (F.col("l_suppkey") + 100000000).alias("target_id"), kind.alias("relation_type"))
-    ids = table(spark, sf_dir, "orders").filter("o_orderkey % 100 = 1").select(F.col("o_orderkey").alias("node_id"))
-    ids = ids.unionByName(table(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 3").select((F.col("s_suppkey") + 100000000).alias("node_id")))
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"))
+    ids = ids.unionByName(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 100000000).alias("node_id")))
     return GR.relations_of(edges, ids).groupBy("relation_type").agg(F.count("*").alias("relations"))
 
 
@@ -499,14 +495,14 @@ def predicates_about(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_C}, q AS (SELECT c_custkey AS question_id, {S.scoring("concat('does Q', translate(cast(c_custkey AS varchar), '0123456789', 'abcdefghij'), ' likes tea at the office')")} AS qt, ['food', 'work'] AS qd FROM customer WHERE c_custkey % 50 = 3),
+    f"""WITH {_C}, q AS (SELECT c_custkey AS question_id, {S.scoring("concat('does Q', translate(cast(c_custkey AS varchar), '0123456789', 'abcdefghij'), ' likes tea at the office')")} AS qt, ['food', 'work'] AS qd FROM customer WHERE c_custkey % 20 = 0),
         x AS (SELECT node_id, r, {S.scoring('claim')} AS ct, {S.domains('claim')} AS cd FROM c WHERE r >= 0.3),
         s AS (SELECT question_id, node_id, 0.4 * ({S.jaccard('qt', 'ct')}) + 0.3 * ({S.jaccard('qd', 'cd')}) + 0.3 * r AS score FROM q JOIN x ON list_has_any(qt, ct))
         SELECT question_id, rank, node_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, node_id) AS rank FROM s) WHERE rank <= 10"""
 )
 def simple_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij")
-    q = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 3").select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("does Q"), name, F.lit(" likes tea at the office")).alias("question"))
+    q = table(spark, sf_dir, "customer").filter("c_custkey % 20 = 0").select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("does Q"), name, F.lit(" likes tea at the office")).alias("question"))
     return RT.simple_score(q, templated(spark, sf_dir), 10, 0.3).select("question_id", F.col("rank").cast("long").alias("rank"), "node_id", F.round("score", 6).alias("score"))
 
 

@@ -260,9 +260,9 @@ def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {S.PARTS} SELECT doc_id, pos, sha256({S.normalize('part')}) AS fingerprint, 'node_' || left(sha256({S.normalize('part')} || '|' || 'a,b' || '|' || '2024'), 12) AS node_id,
-        left(sha256('salt' || chr(0) || {S.normalize('part')}), 32) AS salted FROM parts WHERE pos < 3"""
+        left(sha256('salt' || chr(0) || {S.normalize('part')}), 32) AS salted FROM parts"""
 )
 def claim_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("part")
     ids = F.array(F.lit("b"), F.lit("a"))
-    return parts(spark, sf_dir).filter("pos < 3").select("doc_id", "pos", T.name_fingerprint(p).alias("fingerprint"), T.node_id(T.normalize(p), ids, F.lit("2024")).alias("node_id"), T.salted_fingerprint(p, "salt").alias("salted"))
+    return parts(spark, sf_dir).select("doc_id", "pos", T.name_fingerprint(p).alias("fingerprint"), T.node_id(T.normalize(p), ids, F.lit("2024")).alias("node_id"), T.salted_fingerprint(p, "salt").alias("salted"))
