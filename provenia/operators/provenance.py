@@ -83,8 +83,8 @@ def _up(level: Column) -> Column:
 
 def merkle_root(leaves: Column, levels: int = LEVELS) -> Column:
     """Root of an array of leaf hashes, a fold over the levels; null for no leaves or more than 2**levels."""
-    top = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), leaves, lambda acc, _: F.when(F.size(acc) > 1, _up(acc)).otherwise(acc))
-    return F.when(F.size(top) == 1, F.get(top, F.lit(0)))
+    step = lambda acc, _: F.when(F.size(acc) > 1, _up(acc)).otherwise(acc)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), leaves, step, lambda top: F.when(F.size(top) == 1, F.get(top, F.lit(0))))
 
 
 def inclusion_proof(leaves: Column, index: Column, levels: int = LEVELS) -> Column:

