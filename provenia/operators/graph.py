@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -113,9 +114,10 @@ def closure(seeds: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
     """
     spark = seeds.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="provenia-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="provenia-"))
     known = seeds.select("node_id").distinct().withColumn("step", F.lit(0)).checkpoint()
     frontier = known
     for step in range(1, most + 1):

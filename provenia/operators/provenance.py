@@ -31,21 +31,24 @@ def bind(claims: DataFrame, sources: DataFrame, quote: str = "evidence") -> Data
 
     An equi-join on source_id; sources have source_id and text.
     """
-    held = sources.select("source_id", F.col("text").alias("__source"))
-    out = claims.join(held, "source_id", "left")
+    out = claims.join(_hashed(sources), "source_id", "left")
     start = byte_start(F.col("__source"), F.col(quote))
     out = out.withColumn("byte_start", start).withColumn("byte_end", (F.col("byte_start") + F.octet_length(quote)).cast("long"))
-    return out.withColumn("doc_hash", F.when(F.col("byte_start").isNotNull(), doc_hash(F.col("__source")))).drop("__source")
+    return out.withColumn("doc_hash", F.when(F.col("byte_start").isNotNull(), F.col("__hash"))).drop("__source", "__hash")
+
+
+def _hashed(sources: DataFrame) -> DataFrame:
+    """Sources with their hash: worked out once for each, before claims join them."""
+    return sources.select("source_id", F.col("text").alias("__source"), doc_hash(F.col("text")).alias("__hash"))
 
 
 def verify(receipts: DataFrame, sources: DataFrame, quote: str = "evidence") -> DataFrame:
     """Receipts with ``outcome``: verified, failed, turn_bound (no coordinates) or source_not_held."""
-    held = sources.select("source_id", F.col("text").alias("__source"))
-    out = receipts.join(held, "source_id", "left")
+    out = receipts.join(_hashed(sources), "source_id", "left")
     span = F.substring(F.col("__source").cast("binary"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int"))
-    good = (normalize_hash(F.col("doc_hash")) == normalize_hash(doc_hash(F.col("__source")))) & (span == F.col(quote).cast("binary"))
+    good = (normalize_hash(F.col("doc_hash")) == normalize_hash(F.col("__hash"))) & (span == F.col(quote).cast("binary"))
     outcome = F.when(F.col("__source").isNull(), "source_not_held").when(F.col("byte_start").isNull(), "turn_bound").when(good, "verified").otherwise("failed")
-    return out.withColumn("outcome", outcome).drop("__source")
+    return out.withColumn("outcome", outcome).drop("__source", "__hash")
 
 
 def register(documents: DataFrame, origin: str = "undeclared", kind: str = "unknown") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,15 +113,3 @@ def ordered(claims: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["tenant", "seq", "claim_id", "mutation", "target"])
 
     return claims.groupBy("tenant").applyInPandas(run, ORDERED_SCHEMA)
-
-
-def similarity_backend(name: str = "lexical"):
-    """The similarity of two texts as a column function; ``lexical`` is the only built-in one."""
-    backends = {"lexical": lambda a, b: T.jaccard(T.content_set(a), T.content_set(b)), "space": lambda a, b: T.jaccard(T.space_tokens(a), T.space_tokens(b))}
-    return backends[name]
-
-
-def batches(frames: Iterator[DataFrame]) -> Iterator[DataFrame]:
-    """Resolve a sequence of claim batches in set mode, one after the other."""
-    for frame in frames:
-        yield dedup(frame)

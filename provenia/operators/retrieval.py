@@ -304,11 +304,22 @@ def _unit(vectors: pa.Array) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
 
 
-def bundle_hits(claims: DataFrame, bundles: DataFrame, least: int = 2) -> DataFrame:
-    """Claims that hit ``least`` or more bundles (target, bundle, phrase; target_order) of a target; the first target wins."""
-    low = claims.select("node_id", F.lower("claim").alias("low"))
-    hits = low.join(F.broadcast(bundles), F.col("low").contains(F.col("phrase"))).groupBy("node_id", "target", "target_order").agg(F.countDistinct("bundle").alias("bundles"))
-    return hits.filter(F.col("bundles") >= least).groupBy("node_id").agg(F.min_by("target", "target_order").alias("target"))
+def bundle_hits(claims: DataFrame, bundles: DataFrame, least: int = 2, most: int = 10_000) -> DataFrame:
+    """Claims that hit ``least`` or more bundles (target, bundle, phrase; target_order) of a target; the first target wins.
+
+    Bundles are a vocabulary of at most ``most`` phrases (more is an error); they become one column
+    expression, so claims are read once and nothing is joined.
+    """
+    rows = bundles.select("target", "target_order", "bundle", "phrase").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} phrases")
+    targets: dict[tuple, dict[str, list[str]]] = {}
+    for r in rows:
+        targets.setdefault((r["target_order"], r["target"]), {}).setdefault(r["bundle"], []).append(r["phrase"])
+    low = F.col("low")
+    hits = lambda own: sum((T.contains_any(low, tuple(p)).cast("int") for p in own.values()), F.lit(0))
+    target = F.coalesce(*[F.when(hits(own) >= least, F.lit(t)) for (_, t), own in sorted(targets.items())], F.lit(None).cast("string"))
+    return claims.select("node_id", F.lower("claim").alias("low")).select("node_id", target.alias("target")).filter("target is not null")
 
 
 def validate_answers(answers: DataFrame, given: DataFrame, most: int = 800) -> DataFrame:
@@ -325,9 +336,30 @@ def validate_answers(answers: DataFrame, given: DataFrame, most: int = 800) -> D
     return answers.join(cited, "question_id", "left").withColumn("violation", violation).drop("__bad")
 
 
-def semantic_rescue(refused: DataFrame, terms: DataFrame, embedding: str = "embedding", least: float = 0.60) -> DataFrame:
-    """For refused heads (question_id, embedding) the most alike term (term, embedding) at ``least`` cosine: an optional encoder's vectors, off by default."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = refused.select("question_id", F.col(embedding).alias("q")).join(F.broadcast(terms.select("term", F.col(embedding).alias("t"))))
-    scored = pairs.withColumn("cosine", dot(F.col("q"), F.col("t")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("t"), F.col("t")))).filter(F.col("cosine") >= least)
-    return scored.groupBy("question_id").agg(F.max_by("term", F.struct("cosine", "term")).alias("term"), F.max("cosine").alias("cosine"))
+def semantic_rescue(refused: DataFrame, terms: DataFrame, embedding: str = "embedding", least: float = 0.60, block: int = 65536) -> DataFrame:
+    """For refused heads (question_id, embedding) the most alike term (term, embedding) at ``least`` cosine: an optional encoder's vectors, off by default.
+
+    Terms are taken in blocks, one broadcast at a time; ties go to the later term.
+    """
+    spark = refused.sparkSession
+    form = lambda df, key: df.filter(F.col(embedding).isNotNull()).select(key, F.transform(embedding, lambda x: x.cast("double")).alias("v"))
+    heads, words = form(refused, "question_id"), form(terms, "term")
+    schema = f"question_id {refused.schema['question_id'].dataType.simpleString()}, term string, cosine double"
+    blocks, found = max(1, -(-words.count() // block)), []
+    for b in range(blocks):
+        table = words.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).orderBy("term").toArrow()
+        own = spark.sparkContext.broadcast((table.column(0).to_pylist(), _unit(table.column(1))) if table.num_rows else None)
+
+        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and own.value is not None:
+                    names, t = own.value
+                    cosine = _unit(batch.column(1)) @ t.T
+                    at = cosine.shape[1] - 1 - cosine[:, ::-1].argmax(1)
+                    best = cosine[np.arange(len(at)), at]
+                    good = pa.array(best >= least)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), pa.array([names[k] for k in at], pa.string()).filter(good), pa.array(best).filter(good)], names=["question_id", "term", "cosine"])
+
+        found.append(heads.mapInArrow(run, schema))
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy("question_id").agg(F.max_by("term", F.struct("cosine", "term")).alias("term"), F.max("cosine").alias("cosine"))

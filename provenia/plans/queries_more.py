@@ -149,6 +149,24 @@ def clause_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GR.best_match(q, templated(spark, sf_dir))
 
 
+@query(
+    f"""WITH {S.PARTS}, p AS (SELECT doc_id, pos, part, {S.scoring('part')} AS t FROM parts), c AS (SELECT doc_id, list_distinct(list_append(t, 'zyxwv')) AS t FROM p WHERE pos = 1),
+        s AS (SELECT c.doc_id, pos, {S.jaccard('c.t', 'p.t')} AS j FROM c JOIN p USING (doc_id))
+        SELECT doc_id AS claim_id, CAST(pos AS INTEGER) AS part_index, round(j, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j DESC, pos) AS k FROM s WHERE j >= 0.4) WHERE k = 1"""
+)
+def best_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of its source that a reworded second sentence stands in."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("source_id"), "text")
+    claims = parts(spark, sf_dir).filter("pos = 1").select(F.col("doc_id").alias("claim_id"), F.col("doc_id").alias("source_id"), F.concat("part", F.lit(" zyxwv")).alias("claim"))
+    return P.best_part(claims, docs).select("claim_id", "part_index", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT DISTINCT n_name AS canonical_name FROM nation ORDER BY n_name LIMIT 5")
+def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The few names that a refusal for an unknown subject offers."""
+    return RT.some_entities(table(spark, sf_dir, "nation").select(F.col("n_name").alias("canonical_name")))
+
+
 # --- read path ---------------------------------------------------------------------------------------------------------
 
 _ASKED = f"""q AS (SELECT c_custkey AS question_id, {_NAME} AS name, (c_custkey // 20) % 3 AS kind, CASE (c_custkey // 20) % 3 WHEN 0 THEN concat('Which tea did ', {_NAME}, ' drink last month?')
