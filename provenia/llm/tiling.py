@@ -7,9 +7,11 @@ match of ``MATCH`` tokens is left, and the marked share of the item is its cover
 in any order, so reordered passages count.
 
 Tokens are runs of letters and digits, lower-cased (A-Z); other non-ASCII bytes count as letters.
-The benchmark is read in blocks of at most ``BLOCK_BYTES``; each block is broadcast and all texts
-pass it, so its size is bounded and no pair of tables is crossed. An item with fewer tokens than
-``MATCH`` is its own single seed.
+The benchmark is read in blocks of about ``BLOCK_BYTES`` and an item; one block at a time lies on the
+driver and is broadcast, all texts pass it, and what they found is written before the next block. An
+item with fewer tokens than ``MATCH`` is its own single seed. Seeds that repeat, in a text and in an
+item, are first counted once each; only pairs that can reach the coverage are expanded, a bounded
+number of hits at a time, and hits on one diagonal become one match.
 
 Cases: null or empty texts and items have no tokens and never match; texts of any length are read
 whole; equal coverages go to the smaller item id; items of null id are skipped; repeated rows repeat;
@@ -27,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import HashIndex, mix64, words
-from .common import slices, strings
+from .common import slices, strings, written
 
 MATCH = 4
 COVERAGE = 0.5
 BLOCK_BYTES = 16 << 20
+#: Seed hits of a text and an item that are expanded at once.
+HITS = 1 << 20
 _BREAK = np.ones(256, bool)
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
@@ -49,33 +53,53 @@ def seed_hashes(token: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.nda
     return mix64(out[at] + np.uint64(size)), at
 
 
-def tile(hits: list[tuple[int, int]], size: int) -> tuple[int, int]:
-    """Greedy string tiling from seed hits (text place, item place) of ``size`` tokens: marked tokens, tiles.
+def diagonals(t: np.ndarray, start: np.ndarray, stop: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Matches (text place, item place, seeds in a row) from seed hits.
 
-    Hits on a diagonal without gaps are one match. The longest match comes first, ties by item and
-    text place; what an earlier tile has taken is cut out of it, and the rests go back in line.
+    A text place ``t`` (ascending) hits the item at ``place[start:stop]``. Hits on a diagonal without
+    gaps are one match; expansions of ``HITS`` at most are joined where they meet.
     """
-    line = []
-    runs: dict[int, list[int]] = {}
-    for t, p in sorted(hits):
-        run = runs.get(t - p)
-        if run and run[1] == t:
-            run[1] = t + 1
-        else:
-            if run:
-                line.append((-(run[1] - run[0] + size - 1), run[0] - (t - p), run[0]))
-            runs[t - p] = [t, t + 1]
-    line += [(-(b - a + size - 1), a - d, a) for d, (a, b) in runs.items()]
+    many = stop - start
+    upto = np.cumsum(many)
+    runs, a = [], 0
+    while a < len(t):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HITS, side="right")))
+        n = many[a:b]
+        post = np.repeat(start[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        x, p = np.repeat(t[a:b], n), place[post]
+        order = np.lexsort((x, x - p))
+        x, p = x[order], p[order]
+        new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1] + 1) | (p[1:] != p[:-1] + 1)]))
+        runs.append(np.column_stack([x[new], p[new], np.diff(np.append(new, len(x)))]))
+        a = b
+    if not runs:
+        return np.zeros((0, 3), np.int64)
+    runs = np.concatenate(runs)
+    if a and len(runs):
+        runs = runs[np.lexsort((runs[:, 0], runs[:, 0] - runs[:, 1]))]
+        meets = (runs[1:, 0] == runs[:-1, 0] + runs[:-1, 2]) & (runs[1:, 1] == runs[:-1, 1] + runs[:-1, 2])
+        first = np.flatnonzero(np.concatenate([[True], ~meets]))
+        runs = np.column_stack([runs[first, 0], runs[first, 1], np.add.reduceat(runs[:, 2], first)])
+    return runs
+
+
+def tile(matches: np.ndarray, size: int, length: int) -> tuple[int, int]:
+    """Greedy string tiling from matches (text place, item place, seeds) with an item of ``length`` tokens: marked tokens, tiles.
+
+    The longest match comes first, ties by item and text place; what an earlier tile has taken is cut
+    out of it, and the rests go back in line, until fewer tokens of the item are free than a match has.
+    """
+    line = [(-(n + size - 1), p, t) for t, p, n in matches.tolist()]
     heapq.heapify(line)
     item: set[int] = set()
     text: set[int] = set()
     tiles = 0
-    while line:
-        length, p, t = heapq.heappop(line)
-        free = [k for k in range(-length) if p + k not in item and t + k not in text]
-        if len(free) == -length:
-            item.update(range(p, p - length))
-            text.update(range(t, t - length))
+    while line and length - len(item) >= size:
+        n, p, t = heapq.heappop(line)
+        free = [k for k in range(-n) if p + k not in item and t + k not in text]
+        if len(free) == -n:
+            item.update(range(p, p - n))
+            text.update(range(t, t - n))
             tiles += 1
             continue
         start = 0
@@ -103,38 +127,49 @@ class Items:
             item = w.doc[at]
             own = np.minimum(self.length[item], match) == size
             key, at, item = key[own], at[own], item[own]
-            order = np.argsort(key, kind="stable")
+            order = np.lexsort((at, item, key))
             key, place, item = key[order], (at - first[item])[order], item[order]
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            self.seeds.append((size, HashIndex(key[new]), np.append(new, len(key)), item, place))
+            # Of each seed the items that have it, and of each such pair its places in the item.
+            pair = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (item[1:] != item[:-1])]))
+            self.seeds.append((size, HashIndex(key[new]), np.append(np.searchsorted(pair, new), len(pair)), item[pair], np.append(pair, len(key)), place))
 
 
 def _covered(data: np.ndarray, offsets: np.ndarray, items: Items, coverage: float) -> tuple[np.ndarray, dict[int, list[tuple[float, int, int]]]]:
     """Tokens of each text; by text the items with enough coverage: (coverage, item id, tiles)."""
     w = words(data, offsets, _BREAK)
     found: dict[int, list[tuple[float, int, int]]] = {}
-    for size, index, start, item, place in items.seeds:
+    for size, index, start, item, places, place in items.seeds:
         key, at = seed_hashes(w.hash, w.doc, size)
         hit = index.find(key)
         some = np.flatnonzero(hit >= 0)
         if not len(some):
             continue
         hit, at = hit[some], at[some]
-        many = start[hit + 1] - start[hit]
-        post = np.repeat(start[hit], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        t, i, p = np.repeat(at, many), item[post], place[post]
-        pair = w.doc[t] * len(items.ids) + i
+        # Every seed of a text once: the places that it has in an item bound the coverage from above.
+        order = np.lexsort((at, hit, w.doc[at]))
+        hit, at, doc = hit[order], at[order], w.doc[at[order]]
+        new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1]) | (doc[1:] != doc[:-1])]))
+        times = np.diff(np.append(new, len(hit)))
+        many = start[hit[new] + 1] - start[hit[new]]
+        own = np.repeat(np.arange(len(new)), many)
+        link = np.arange(int(many.sum())) + np.repeat(start[hit[new]] - (np.cumsum(many) - many), many)
+        pair = doc[new][own] * len(items.ids) + item[link]
         order = np.argsort(pair, kind="stable")
-        pair, t, i, p = pair[order], t[order], i[order], p[order]
-        new = np.append(np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])), len(pair))
-        # A tile's tokens all lie in shared seeds, so seeds * size bounds the coverage from above.
-        for a, b in zip(new[:-1], new[1:]):
-            need = coverage * items.length[i[a]]
-            if (b - a) * size < need or len(np.unique(p[a:b])) * size < need:
-                continue
-            marked, tiles = tile(list(zip(t[a:b].tolist(), p[a:b].tolist())), size)
-            if marked >= need:
-                found.setdefault(int(w.doc[t[a]]), []).append((marked / int(items.length[i[a]]), items.ids[i[a]], tiles))
+        pair, own, link = pair[order], own[order], link[order]
+        edge = np.append(np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])), len(pair))
+        held = np.add.reduceat(places[link + 1] - places[link], edge[:-1])
+        need = coverage * items.length[item[link[edge[:-1]]]]
+        for k in np.flatnonzero(held * size >= need).tolist():
+            seeds, posts = own[edge[k] : edge[k + 1]], link[edge[k] : edge[k + 1]]
+            n = times[seeds]
+            t = at[np.repeat(new[seeds] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            first, last = np.repeat(places[posts], n), np.repeat(places[posts + 1], n)
+            order = np.argsort(t, kind="stable")
+            i, d = int(item[posts[0]]), int(doc[new[seeds[0]]])
+            marked, tiles = tile(diagonals(t[order], first[order], last[order], place), size, int(items.length[i]))
+            if marked >= need[k]:
+                found.setdefault(d, []).append((marked / int(items.length[i]), items.ids[i], tiles))
     return w.per_doc, found
 
 
@@ -161,9 +196,7 @@ def contamination(
     id_type = docs.schema[doc_id].dataType.simpleString()
     names = [x.split()[0] for x in _STATE.split(", ")]
     state = docs.select(F.col(doc_id), F.col(text).alias("__text"), *(F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in _STATE.split(", ")))
-    blocks = list(_broadcast(docs, benchmark, item_id, item_text, match)) or [docs.sparkSession.sparkContext.broadcast(Items([], [], match))]
-    for k, items in enumerate(blocks):
-        last = k == len(blocks) - 1
+    for items, last in _broadcast(docs, benchmark, item_id, item_text, match):
 
         def run(batches: Iterator[pa.RecordBatch], items=items, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -182,20 +215,28 @@ def contamination(
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *texts, pa.array(n.astype(np.int64)), *columns], names=[doc_id, *(["__text"] if texts else []), *names])
 
         state = state.mapInArrow(run, f"`{doc_id}` {id_type}, " + ("" if last else "__text string, ") + _STATE)
+        if not last:
+            state = written(state, "tiling")
+            items.destroy()
     return state.withColumn("contaminated", F.col("n_items") > 0)
 
 
 def _broadcast(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, match: int):
-    for ids, texts in _blocks(benchmark, item_id, item_text):
+    """Every block as a broadcast index, and whether it is the last; without items one empty block."""
+    blocks = _blocks(benchmark, item_id, item_text)
+    ahead = next(blocks, ([], []))
+    while ahead is not None:
+        ids, texts = ahead
+        ahead = next(blocks, None)
         order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
-        yield docs.sparkSession.sparkContext.broadcast(Items([ids[k] for k in order], [texts[k] for k in order], match))
+        yield docs.sparkSession.sparkContext.broadcast(Items([ids[k] for k in order], [texts[k] for k in order], match)), ahead is None
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, match: int = MATCH) -> DataFrame:
     """The rows of ``docs``, all columns, that cover no benchmark item enough; one pass for each block, no join."""
     at = docs.columns.index(text)
     out = docs
-    for items in _broadcast(docs, benchmark, item_id, item_text, match):
+    for items, last in _broadcast(docs, benchmark, item_id, item_text, match):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -205,4 +246,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
                     yield batch.slice(i, j - i).filter(pa.array([d not in found for d in range(j - i)], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
+        if not last:
+            out = written(out, "tiling")
+            items.destroy()
     return out
