@@ -13,10 +13,12 @@ hashes of its parts, by which other receipts into it still verify.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import time
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack, contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,7 +29,9 @@ from .operators import entities as E
 from .operators import gates as G
 from .operators import graph as GR
 from .operators import ledger as L
+from .operators import memory as M
 from .operators import provenance as P
+from .operators import resolve as R
 from .operators import retrieval as RT
 from .sources import logs, snapshot
 
@@ -38,6 +42,7 @@ CLAIM = (
 PART = "source_id string, part_index int, byte_start long, text string, nonce string"
 SOURCE = "source_id string, doc_hash string, byte_length long, root string, hashes array<string>"
 QUARANTINE = "claim string, evidence string, source_id string, reason string, ts string"
+PERCEPT = "claim string, evidence string, source_id string, confidence double, salience double, seq long"
 RELATION = "relation_id string, source_id string, target_id string, relation_type string"
 LEDGER = "tenant string, seq long, event_id string, kind string, ts string, payload string, prev_hash string, hash string"
 #: Stands for a text whose key is gone.
@@ -63,6 +68,16 @@ def _sealed(text: Column, key: Column) -> Column:
     return F.base64(F.aes_encrypt(text.cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), iv))
 
 
+@contextmanager
+def _kept(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows held by the executors while a call reads them several times; what is lost is worked out anew."""
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 class Engine:
     """``Engine(spark, folder)``: remember, recall, verify, trace, forget, export and more, over DataFrames.
 
@@ -86,12 +101,15 @@ class Engine:
     def _append(self, events: DataFrame, batch: str) -> None:
         """events: event_id, kind, ts, payload. Nothing to append, or a batch written before, leaves the ledger as it is."""
         path = f"{self.folder}/ledger"
-        if logs.committed(self.spark, path, batch) or events.isEmpty():
+        if logs.committed(self.spark, path, batch):
             return
-        tails = L.tails(self.ledger().filter(F.col("tenant") == self.tenant))
-        last = tails.first()
-        logs.claim_place(self.spark, path, self.tenant, last["next_seq"] if last else 0, batch)
-        logs.append_ledger(L.append(events.withColumn("tenant", F.lit(self.tenant)), tails), path, batch)
+        with _kept(events) as events:
+            if events.isEmpty():
+                return
+            last = L.tails(self.ledger().filter(F.col("tenant") == self.tenant)).first()
+            logs.claim_place(self.spark, path, self.tenant, last["next_seq"] if last else 0, batch)
+            tails = self.spark.createDataFrame([(self.tenant, *((last["next_seq"], last["tail_hash"]) if last else (0, "")))], "tenant string, next_seq long, tail_hash string")
+            logs.append_ledger(L.append(events.withColumn("tenant", F.lit(self.tenant)), tails), path, batch)
 
     def _state(self, erased: bool = False) -> DataFrame:
         """Last write of each object; ``erased``: also of those that an event erased."""
@@ -111,7 +129,21 @@ class Engine:
         return self._state().filter(F.col("object_id").startswith(prefix)).select(F.from_json("payload", schema).alias("o")).select("o.*")
 
     def claims(self) -> DataFrame:
-        return self._objects("node_", CLAIM).drop("object_id")
+        """All claims with their present state, and r from the sessions that brought them or repeated them."""
+        own = self._objects("node_", CLAIM).drop("object_id")
+        now = self._plain("state:", "node string, memory_state string, valid_to string").toDF("node_id", "now_state", "now_valid")
+        r = self.reinforcement().groupBy("node_id").agg(F.max_by("csr", "seq").alias("csr"))
+        out = own.join(now, "node_id", "left").join(r, "node_id", "left")
+        state = {"memory_state": F.coalesce("now_state", "memory_state"), "valid_to": F.coalesce("now_valid", "valid_to"), "r": F.greatest(F.coalesce("r", F.lit(0.0)), M.overall(F.lit(0.0), F.coalesce("csr", F.lit(0.0))))}
+        return out.withColumns(state).select(*(x.split()[0] for x in CLAIM.split(", ")))
+
+    def reinforcement(self) -> DataFrame:
+        """Each mention of a claim that brought it a new session, from the ledger: node_id, session, seq, k, begun, csr, validated."""
+        path = {"ADD_NODE": "$.id", "REINFORCE": "$.node"}
+        rows = self.ledger().filter((F.col("tenant") == self.tenant) & F.col("kind").isin(*path))
+        node = F.coalesce(*[F.when(F.col("kind") == k, F.get_json_object("payload", p)) for k, p in path.items()])
+        mentions = rows.select("tenant", node.alias("node_id"), F.get_json_object("payload", "$.session").alias("session"), "seq").filter("node_id like 'node\\_%' and session is not null")
+        return M.reinforce(mentions)
 
     def parts(self) -> DataFrame:
         return self._objects("part:", PART).drop("object_id")
@@ -138,8 +170,8 @@ class Engine:
 
     def claim_entity(self) -> DataFrame:
         """node_id, entity_id of every claim's names."""
-        c = self.claims()
-        return c.select("node_id", F.explode(F.array_distinct(T.candidate_names(F.col("claim")))).alias("name")).select("node_id", T.entity_id(F.col("name"), self.salt).alias("entity_id"))
+        found = E.mentions(self.claims().select(F.col("node_id").alias("claim_id"), F.lit(0).alias("seq"), "claim"))
+        return found.select(F.col("claim_id").alias("node_id"), T.entity_id(F.col("name"), self.salt).alias("entity_id")).distinct()
 
     def entities(self) -> DataFrame:
         found = E.mentions(self.claims().select(F.col("node_id").alias("claim_id"), F.xxhash64("node_id").alias("seq"), "claim"))
@@ -155,10 +187,10 @@ class Engine:
         return objects.join(keys, "object_id")
 
     @staticmethod
-    def _write(objects: DataFrame, fields: dict[str, Column]) -> DataFrame:
-        """ADD_NODE events of keyed objects, their fields sealed."""
+    def _write(objects: DataFrame, fields: dict[str, Column], **plain: Column) -> DataFrame:
+        """ADD_NODE events of keyed objects, their fields sealed; ``plain`` ones stay readable."""
         body = _sealed(T.canonical_json(fields), F.col("key"))
-        payload = T.canonical_json({"id": F.col("object_id"), "key_batch": F.col("key_batch"), "body": body})
+        payload = T.canonical_json({"id": F.col("object_id"), "key_batch": F.col("key_batch"), "body": body, **plain})
         return objects.select(F.col("object_id").alias("event_id"), F.lit("ADD_NODE").alias("kind"), F.lit(_now()).alias("ts"), payload.alias("payload"))
 
     def add_source(self, documents: DataFrame, origin: str = "undeclared", kind: str = "unknown", batch: str | None = None) -> None:
@@ -183,42 +215,62 @@ class Engine:
     def remember(self, proposals: DataFrame, session: str, batch: str | None = None, acknowledge_erasure: bool = False) -> DataFrame:
         """Admit proposals (claim, evidence, source_id) of a session; returns each with its decision and reason.
 
-        Admitted claims are stored with byte receipts, a repeat of an active claim is recorded as
-        REINFORCE, quarantined ones go to their log, the others are refused with a reason. Claims that
-        name an erased subject are refused as ``erased_subject`` unless the erasure is acknowledged.
+        Admitted claims are resolved against the active ones (``resolve.outcomes``): a repeat, or a claim
+        that means the same, is recorded as REINFORCE; a contradiction supersedes the older claim (MODIFY)
+        or puts both in dispute; others are stored with byte receipts. Quarantined proposals go to their
+        log, the rest is refused with a reason. Claims that name an erased subject are refused as
+        ``erased_subject`` unless the erasure is acknowledged.
         """
         name = batch or f"session-{session}"
-        if not self.claims().filter(F.col("session") == session).isEmpty():
-            raise VersionConflict(f"session {session} was ingested before")
-        judged = G.admit(proposals).withColumn("normalized", T.normalize(F.col("claim")))
-        if not acknowledge_erasure:
-            erased = self.ledger().filter("kind = 'ERASE'").select(F.get_json_object("payload", "$.subject_fingerprint").alias("fp")).filter("fp is not null").distinct()
-            named = judged.select("normalized", F.explode(T.candidate_names(F.col("claim"))).alias("n")).withColumn("fp", T.salted_fingerprint(F.col("n"), self.salt))
-            named = named.join(erased, "fp", "left_semi").select("normalized").distinct().withColumn("__erased", F.lit("erased_subject"))
-            judged = judged.join(named, "normalized", "left").withColumn("reason", F.coalesce("reason", "__erased")).drop("__erased")
-        good = judged.filter(F.col("reason").isNull() & F.col("decision").isin("ACCEPT", "RESCUE"))
-        first = F.row_number().over(Window.partitionBy("normalized").orderBy("source_id", "claim"))
-        once = good.withColumn("k", first).filter("k = 1").drop("k")
-        held = self.claims().filter("memory_state = 'active'").groupBy("normalized").agg(F.min("node_id").alias("held_id"))
-        new = once.join(held, "normalized", "left_anti")
-        bound = P.bind(new.select("claim", "normalized", "evidence", "source_id"), self.sources().filter("whole").select("source_id", "text"))
-        c = F.col("claim")
-        fields = {
-            "node_id": F.col("object_id"), "claim": c, "normalized": F.col("normalized"), "evidence": F.col("evidence"), "source_id": F.col("source_id"), "session": F.lit(session), "node_type": T.node_type(c),
-            "polarity": T.polarity(c), "lemma": T.lemma(c), "slot": G.slot_of(c, F.col("evidence")), "domains": T.domains(c), "memory_state": F.lit("active"), "valid_to": F.lit(None).cast("string"),
-            "r": F.lit(0.0), "doc_hash": F.col("doc_hash"), "byte_start": F.col("byte_start"), "byte_end": F.col("byte_end"),
-        }
-        node = T.node_id(F.concat(F.lit(self.salt), F.col("normalized")), T.candidate_names(c), F.lit(session))
-        doubtful = judged.filter(F.col("reason").isNull() & (F.col("decision") == "QUARANTINE")).withColumn("__q", F.concat_ws("|", F.lit(self.salt), "normalized", "evidence", "source_id", F.lit(name)))
-        doubtful = doubtful.select(F.concat(F.lit("doubt_"), F.substring(F.sha2("__q", 256), 1, 20)).alias("object_id"), "claim", "evidence", "source_id", F.col("firewall_reason").alias("reason")).distinct()
-        out = judged.select("claim", "evidence", "source_id", "decision", F.coalesce("reason", F.when(~F.col("decision").isin("ACCEPT", "RESCUE"), F.col("firewall_reason"))).alias("reason"))
-        result = self.spark.createDataFrame(out.toArrow())
-        if not logs.committed(self.spark, f"{self.folder}/ledger", name):
-            again = once.join(held, "normalized").select(F.concat(F.lit("again:"), "held_id", F.lit(f":{session}")).alias("event_id"), F.lit("REINFORCE").alias("kind"), F.lit(_now()).alias("ts"), T.canonical_json({"node": F.col("held_id"), "session": F.lit(session)}).alias("payload"))
-            write = self._write(self._keyed(bound.withColumn("object_id", node), name), fields)
-            doubts = self._write(self._keyed(doubtful, f"{name}-doubts"), {x.split()[0]: F.lit(_now()) if x.startswith("ts ") else F.col(x.split()[0]) for x in QUARANTINE.split(", ")})
-            self._append(write.unionByName(again).unionByName(doubts), name)
-        return result
+        with ExitStack() as calls:
+            keep = lambda df: calls.enter_context(_kept(df))
+            claims = keep(self.claims())
+            if not claims.filter(F.col("session") == session).isEmpty():
+                raise VersionConflict(f"session {session} was ingested before")
+            judged = G.admit(proposals).withColumn("normalized", T.normalize(F.col("claim")))
+            if not acknowledge_erasure:
+                erased = self.ledger().filter("kind = 'ERASE'").select(F.get_json_object("payload", "$.subject_fingerprint").alias("fp")).filter("fp is not null").distinct()
+                named = judged.select("normalized", F.explode(T.candidate_names(F.col("claim"))).alias("n")).withColumn("fp", T.salted_fingerprint(F.col("n"), self.salt))
+                named = named.join(erased, "fp", "left_semi").select("normalized").distinct().withColumn("__erased", F.lit("erased_subject"))
+                judged = judged.join(named, "normalized", "left").withColumn("reason", F.coalesce("reason", "__erased")).drop("__erased")
+            judged = keep(judged)
+            good = judged.filter(F.col("reason").isNull() & F.col("decision").isin("ACCEPT", "RESCUE"))
+            first = F.row_number().over(Window.partitionBy("normalized").orderBy("source_id", "claim"))
+            once = good.withColumn("k", first).filter("k = 1").drop("k")
+            held = claims.filter("memory_state = 'active'").groupBy("normalized").agg(F.min("node_id").alias("held_id"))
+            new = once.join(held, "normalized", "left_anti")
+            c = F.col("claim")
+            node = T.node_id(F.concat(F.lit(self.salt), F.col("normalized")), T.candidate_names(c), F.lit(session))
+            typed = new.select("claim", "normalized", "evidence", "source_id", node.alias("node_id"), T.node_type(c).alias("node_type"), T.polarity(c).alias("polarity"))
+            active = claims.filter("memory_state = 'active'").withColumn("seq", F.xxhash64("node_id"))
+            solved = keep(typed.join(R.outcomes(typed, active), "node_id").withColumn("object_id", F.col("node_id")))
+            bound = keep(P.bind(solved.filter("mutation != 'REINFORCE'"), self.sources().filter("whole").select("source_id", "text")))
+            fields = {
+                "node_id": F.col("node_id"), "claim": c, "normalized": F.col("normalized"), "evidence": F.col("evidence"), "source_id": F.col("source_id"), "session": F.lit(session), "node_type": F.col("node_type"),
+                "polarity": F.col("polarity"), "lemma": T.lemma(c), "slot": G.slot_of(c, F.col("evidence")), "domains": T.domains(c), "memory_state": F.when(F.col("mutation") == "DISPUTE", "disputed").otherwise("active"),
+                "valid_to": F.lit(None).cast("string"), "r": F.lit(0.0), "doc_hash": F.col("doc_hash"), "byte_start": F.col("byte_start"), "byte_end": F.col("byte_end"),
+            }
+            doubtful = judged.filter(F.col("reason").isNull() & (F.col("decision") == "QUARANTINE")).withColumn("__q", F.concat_ws("|", F.lit(self.salt), "normalized", "evidence", "source_id", F.lit(name)))
+            doubtful = doubtful.select(F.concat(F.lit("doubt_"), F.substring(F.sha2("__q", 256), 1, 20)).alias("object_id"), "claim", "evidence", "source_id", F.col("firewall_reason").alias("reason")).distinct()
+            out = judged.select("claim", "evidence", "source_id", "decision", F.coalesce("reason", F.when(~F.col("decision").isin("ACCEPT", "RESCUE"), F.col("firewall_reason"))).alias("reason"))
+            result = self.spark.createDataFrame(out.toArrow())
+            if not logs.committed(self.spark, f"{self.folder}/ledger", name):
+                event = lambda rows, event_id, kind, payload: rows.select(event_id.alias("event_id"), F.lit(kind).alias("kind"), F.lit(_now()).alias("ts"), T.canonical_json(payload).alias("payload"))
+                met = once.join(held, "normalized").select(F.col("held_id").alias("target")).unionByName(solved.filter("mutation = 'REINFORCE'").select("target")).distinct()
+                again = event(met, F.concat(F.lit("again:"), "target", F.lit(f":{session}")), "REINFORCE", {"node": F.col("target"), "session": F.lit(session)})
+                write = self._write(self._keyed(bound, name), fields, session=F.lit(session), mutation=F.col("mutation"), resolver=F.lit(R.VERSION))
+                against = solved.filter(F.col("mutation").isin("MODIFY", "DISPUTE"))
+                closed = F.col("mutation") == "MODIFY"
+                state = event(against, F.concat(F.lit("state:"), "target", F.lit(f":{session}")), "UPDATE_NODE", {"id": F.concat(F.lit("state:"), "target"), "node": F.col("target"), "memory_state": F.when(closed, "superseded").otherwise("disputed"), "valid_to": F.when(closed, F.lit(_now()))})
+                ends = against.select(F.col("node_id").alias("source_id"), F.col("target").alias("target_id"), F.when(closed, "supersedes").otherwise("contradicts").alias("relation_type"))
+                ends = ends.unionByName(ends.filter("relation_type = 'contradicts'").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "relation_type"))
+                names = E.mentions(bound.select(F.col("node_id").alias("claim_id"), F.lit(0).alias("seq"), "claim")).select(F.col("claim_id").alias("node_id"), T.entity_id(F.col("name"), self.salt).alias("entity_id")).distinct()
+                ends = ends.unionByName(GR.co_occurs(names).select("source_id", "target_id", F.lit("co_occurs").alias("relation_type")))
+                edge = {x.split()[0]: F.col(x.split()[0]) for x in RELATION.split(", ")}
+                edges = event(GR.relation_ids(ends.distinct()), F.concat("relation_id", F.lit(f":{session}")), "ADD_RELATION", {"id": F.col("relation_id"), **edge})
+                doubts = self._write(self._keyed(doubtful, f"{name}-doubts"), {x.split()[0]: F.lit(_now()) if x.startswith("ts ") else F.col(x.split()[0]) for x in QUARANTINE.split(", ")})
+                self._append(GR.union_all(write, again, state, edges, doubts), name)
+            return result
 
     def ingest(self, turns: DataFrame, session: str, speaker: str | None = None) -> DataFrame:
         """Turns (source_id, text) of a session: first person is rewritten to the speaker, sentences are the claims and their evidence."""
@@ -226,6 +278,51 @@ class Engine:
         each = turns.select("source_id", F.explode(T.sentences(text)).alias("claim")).filter(F.length(F.trim("claim")) >= 10)
         return self.remember(each.withColumn("evidence", F.col("claim")), session)
 
+    # --- intake --------------------------------------------------------------------------------------------------------
+
+    def perceive(self, percepts: DataFrame, batch: str | None = None) -> None:
+        """Put percepts (claim, evidence, source_id, seq; confidence and salience may be null) into the buffer, sealed like claims."""
+        batch = batch or f"percepts-{_stamp()}"
+        if logs.committed(self.spark, f"{self.folder}/ledger", batch):
+            return
+        rows = percepts.withColumns({c: F.col(c).cast("double") if c in percepts.columns else F.lit(None).cast("double") for c in ("confidence", "salience")})
+        rows = rows.withColumn("confidence", T.clamp01(F.coalesce("confidence", F.lit(0.5)))).withColumn("salience", T.clamp01(F.coalesce("salience", "confidence"))).filter(F.trim("claim") != "")
+        own = F.sha2(F.concat_ws("|", F.lit(self.salt), F.lit(batch), F.col("seq").cast("string"), "claim", "evidence", "source_id"), 256)
+        rows = rows.withColumn("object_id", F.concat(F.lit("percept_"), F.substring(own, 1, 20))).dropDuplicates(["object_id"])
+        self._append(self._write(self._keyed(rows, batch), {x.split()[0]: F.col(x.split()[0]) for x in PERCEPT.split(", ")}), batch)
+
+    def pending(self) -> DataFrame:
+        return self._objects("percept_", PERCEPT)
+
+    def tick(self, batch: int = 32, capacity: int = 256, flush: bool = False) -> DataFrame | None:
+        """One turn: of the buffer's ``capacity`` most salient percepts the ``batch`` first are remembered; the rest waits.
+
+        With fewer than ``batch`` waiting nothing happens, unless ``flush``. What was taken, and what the
+        capacity evicted, leaves the buffer: erased, its keys deleted. Returns the decisions, or None.
+        """
+        waiting = self.pending().withColumn("tenant", F.lit(self.tenant))
+        n = waiting.count()
+        if not n or (n < batch and not flush):
+            return None
+        kept = M.retain(waiting, capacity, "tenant")
+        taken = M.drain(kept, batch, "tenant")
+        # The turn is named by what it takes: repeated after a crash it is known, and only the clearing is done again.
+        name = hashlib.sha256("|".join(sorted(r["object_id"] for r in taken.select("object_id").collect())).encode()).hexdigest()[:16]
+        out = None if logs.committed(self.spark, f"{self.folder}/ledger", f"session-turn-{name}") else self.remember(taken.select("claim", "evidence", "source_id"), f"turn-{name}")
+        gone = taken.select("object_id").unionByName(waiting.join(kept.select("object_id"), "object_id", "left_anti").select("object_id"))
+        events = gone.select(F.concat(F.lit("erase:"), "object_id").alias("event_id"), F.lit("PRUNE").alias("kind"), F.lit(_now()).alias("ts"), T.canonical_json({"id": F.col("object_id")}).alias("payload"))
+        self._append(events, f"turn-{name}-taken")
+        pruned = self.ledger().filter(F.col("kind") == "PRUNE").select(F.get_json_object("payload", "$.id").alias("object_id"))
+        logs.shred_keys(self.spark, self.keys, pruned)
+        return out if out is not None else self.spark.createDataFrame([], "claim string, evidence string, source_id string, decision string, reason string")
+
+    def flush(self, batch: int = 32) -> list[DataFrame]:
+        """Turns until the buffer is empty."""
+        turns = []
+        while (out := self.tick(batch, flush=True)) is not None:
+            turns.append(out)
+        return turns
+
     def ingest_documents(self, documents: DataFrame, session: str) -> DataFrame:
         """Register documents (source_id, text), propose claims (by the proposer, else every sentence), admit them."""
         self.add_source(documents, batch=f"documents-{session}")
@@ -317,24 +414,33 @@ class Engine:
         names the subject and that questions about its names are refused; else ``ErasureIncomplete``.
         Repeated after a crash, it takes up what still has keys.
         """
-        before, state_before = self.claims().count(), self.state_hash()
-        own, names = self._naming(subject)
-        derived = self.relations().filter("relation_type = 'derived_from'").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-        gone = GR.closure(own.select(F.col("object_id").alias("node_id")), derived).select(F.col("node_id").alias("object_id"))
-        asked = self.spark.createDataFrame(names.unionByName(self.spark.createDataFrame([(subject,)], "name string")).distinct().toArrow())
-        names = asked.withColumn("fp", T.salted_fingerprint(F.col("name"), self.salt))
-        event = lambda rows, payload: rows.select(F.concat(F.lit("erase:"), payload["id"]).alias("event_id"), F.lit("ERASE").alias("kind"), F.lit(_now()).alias("ts"), T.canonical_json(payload).alias("payload"))
-        events = event(gone, {"id": F.col("object_id")}).unionByName(event(names, {"id": F.concat(F.lit("subject:"), "fp"), "subject_fingerprint": F.col("fp")}))
-        self._append(events, f"erase-{_stamp()}")
-        logs.shred_keys(self.spark, self.keys, gone)
-        left = self._naming(subject)[0].count()
-        questions = asked.select(F.monotonically_increasing_id().alias("question_id"), F.concat(F.lit("What about "), "name", F.lit("?")).alias("question"))
-        answered = self.query(questions.filter(F.size(T.candidate_names(F.col("question"))) > 1)).filter(~F.col("abstain")).count()
-        if left or answered:
-            raise GR.ErasureIncomplete(f"{left} texts still name the subject, {answered} questions are still answered")
+        with ExitStack() as calls:
+            keep = lambda df: calls.enter_context(_kept(df))
+            claims = keep(self.claims())
+            before, state_before = claims.count(), self.state_hash()
+            own, names = self._naming(subject)
+            own = keep(own)
+            derived = self.relations().filter("relation_type = 'derived_from'").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+            gone = keep(GR.closure(own.select(F.col("object_id").alias("node_id")), derived).select(F.col("node_id").alias("object_id")))
+            asked = self.spark.createDataFrame(names.unionByName(self.spark.createDataFrame([(subject,)], "name string")).distinct().toArrow())
+            names = asked.withColumn("fp", T.salted_fingerprint(F.col("name"), self.salt))
+            event = lambda rows, payload: rows.select(F.concat(F.lit("erase:"), payload["id"]).alias("event_id"), F.lit("ERASE").alias("kind"), F.lit(_now()).alias("ts"), T.canonical_json(payload).alias("payload"))
+            # Edges of what goes, and of entities that no other claim grounds.
+            left = self.claim_entity().join(gone.withColumnRenamed("object_id", "node_id"), "node_id", "left_anti").select(F.col("entity_id").alias("end"))
+            left = left.unionByName(claims.select(F.col("node_id").alias("end")).join(gone.withColumnRenamed("object_id", "end"), "end", "left_anti")).distinct()
+            loose = self.relations().select("relation_id", F.explode(F.array("source_id", "target_id")).alias("end")).join(left, "end", "left_anti").select(F.col("relation_id").alias("object_id")).distinct()
+            events = event(gone.unionByName(loose), {"id": F.col("object_id")}).unionByName(event(names, {"id": F.concat(F.lit("subject:"), "fp"), "subject_fingerprint": F.col("fp")}))
+            self._append(events, f"erase-{_stamp()}")
+            logs.shred_keys(self.spark, self.keys, gone)
+            erased = gone.count()
+            left = self._naming(subject)[0].count()
+            questions = asked.select(F.monotonically_increasing_id().alias("question_id"), F.concat(F.lit("What about "), "name", F.lit("?")).alias("question"))
+            answered = self.query(questions.filter(F.size(T.candidate_names(F.col("question"))) > 1)).filter(~F.col("abstain")).count()
+            if left or answered:
+                raise GR.ErasureIncomplete(f"{left} texts still name the subject, {answered} questions are still answered")
         certificate = {
             "subject_fingerprint": self.spark.range(1).select(T.salted_fingerprint(F.lit(subject), self.salt)).first()[0], "claims_before": before, "claims_after": self.claims().count(),
-            "objects_erased": gone.count(), "probes_answered": 0, "cipher": "AES-256-GCM", "key_destroyed": True, "scope": SCOPE, "state_hash_before": state_before, "state_hash": self.state_hash(),
+            "objects_erased": erased, "probes_answered": 0, "cipher": "AES-256-GCM", "key_destroyed": True, "scope": SCOPE, "state_hash_before": state_before, "state_hash": self.state_hash(),
         }
         return {**certificate, "scheme": self.signer.name, "signature": self.signer.sign(certificate)} if self.signer else certificate
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocabulary as V
 
+#: Recorded with every stored claim.
+VERSION = "set-2"
 LEAST_CONFIDENCE, SAME, CANONICAL = 0.30, 0.80, 0.55
 GAP_DAYS, SCOPE, CONTRADICTION = 30, 0.70, 0.65
 REVISABLE = ("preference", "state", "constraint")
@@ -50,6 +52,36 @@ def contradictions(claims: DataFrame) -> DataFrame:
     return best.withColumn("mutation", F.when(change_signal(F.col("claim")), "MODIFY").otherwise("DISPUTE")).select("node_id", "old_node_id", "confidence", "mutation")
 
 
+def subject_of(claim: Column) -> Column:
+    """The first name of a claim, in lower case; null without one."""
+    return F.lower(F.get(T.candidate_names(claim), F.lit(0)))
+
+
+def outcomes(new: DataFrame, held: DataFrame) -> DataFrame:
+    """Set mode against a store: new claims (node_id, claim, polarity, node_type) with ``mutation`` and ``target`` among held ones.
+
+    ``held`` has the same columns and seq, of active claims. In this order: a held claim of the same
+    subject, opposite polarity, alike scope and a Jaccard of 0.3 to 0.95 is contradicted (MODIFY with a
+    change signal, if it is revisable, else DISPUTE); one with a Jaccard of ``SAME``, or of ``CANONICAL``
+    with the same subject and polarity, is meant (REINFORCE); else CREATE. Claims of one batch do not
+    see each other. Joins are on the subject and on content tokens.
+    """
+    form = lambda df, *more: df.select("node_id", "polarity", "node_type", *more, subject_of(F.col("claim")).alias("subject"), T.content_set(F.col("claim")).alias("t"), T.scoring_tokens(T.scope(F.col("claim"))).alias("scope"), "claim")
+    a, b = form(new), form(held, "seq")
+    old = b.select(*(F.col(c).alias(f"old_{c}") for c in ("node_id", "polarity", "node_type", "subject", "t", "scope", "seq")))
+    near = a.join(old, F.col("subject") == F.col("old_subject")).filter((opposition(F.col("polarity"), F.col("old_polarity")) >= 0.95) & F.col("old_node_type").isin(*REVISABLE))
+    near = near.withColumns({"similarity": T.jaccard(F.col("t"), F.col("old_t")), "match": T.jaccard(F.col("scope"), F.col("old_scope"))}).filter(F.col("similarity").between(0.3, 0.95) & (F.col("match") >= SCOPE))
+    best = near.groupBy("node_id").agg(F.max_by("old_node_id", F.struct("similarity", -F.col("old_seq"))).alias("against"))
+    words = b.select("node_id", F.size("t").alias("nb"), "subject", "polarity", "seq", F.explode("t").alias("token")).withColumnsRenamed({"node_id": "like_id", "subject": "like_subject", "polarity": "like_polarity"})
+    pairs = a.select("node_id", "subject", "polarity", F.size("t").alias("na"), F.explode("t").alias("token")).join(words, "token")
+    pairs = pairs.groupBy("node_id", "subject", "polarity", "na", "like_id", "like_subject", "like_polarity", "nb", "seq").agg(F.count("*").alias("both")).withColumn("j", F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
+    same = F.coalesce((F.col("subject") == F.col("like_subject")) & (F.col("polarity") == F.col("like_polarity")), F.lit(False))
+    meant = pairs.filter((F.col("polarity") == F.col("like_polarity")) & ((F.col("j") >= SAME) | (same & (F.col("j") >= CANONICAL)))).groupBy("node_id").agg(F.max_by("like_id", F.struct("j", -F.col("seq"))).alias("meant"))
+    out = a.join(best, "node_id", "left").join(meant, "node_id", "left")
+    mutation = F.when(F.col("against").isNotNull(), F.when(change_signal(F.col("claim")), "MODIFY").otherwise("DISPUTE")).when(F.col("meant").isNotNull(), "REINFORCE").otherwise("CREATE")
+    return out.select("node_id", mutation.alias("mutation"), F.coalesce("against", "meant").alias("target"))
+
+
 def _tokens(x: str) -> frozenset[str]:
     return frozenset(t for t in "".join(c if c.isalnum() or c == "_" else " " for c in x.lower()).split() if len(t) > 2)
 

@@ -119,7 +119,7 @@ def test_repeated_batches_change_nothing(spark, tmp_path):
     logs.append_ledger = before
     assert e.ledger().count() == rows and e.verify_ledger().count() == 0
     e.remember(claims, "s1")
-    assert e.ledger().count() == rows + 1 and e.verify_ledger().count() == 0 and {r["outcome"] for r in e.verify_receipts().collect()} == {"verified"}
+    assert e.ledger().count() == rows + 2 and e.verify_ledger().count() == 0 and {r["outcome"] for r in e.verify_receipts().collect()} == {"verified"}
     with pytest.raises(EN.VersionConflict):
         e.remember(claims, "s1")
     e.remember(claims, "s2")
@@ -128,6 +128,39 @@ def test_repeated_batches_change_nothing(spark, tmp_path):
     assert tuple(e.review_reads()["totals"].first()) == (1, 1) and "Zed" not in str(e.review_reads()["heads"].collect())
 
 
+def test_claims_are_resolved_against_the_store(spark, tmp_path):
+    """Repeat, same meaning, dispute and change; r grows with sessions, edges are events."""
+    e = EN.Engine(spark, str(tmp_path / "s"))
+    say = lambda session, *claims: e.remember(spark.createDataFrame([(c, c, "turn") for c in claims], "claim string, evidence string, source_id string"), session)
+    say("s1", "Maya Lin likes green tea from Oslo.", "Bob Ross likes dinner at the hotel.", "Maya Lin works for Acme and is at the office.")
+    say("s2", "Maya Lin works for Acme and is at the office.", "Maya Lin dislikes green tea from Oslo.", "Bob Ross no longer likes dinner at the hotel.")
+    got = {r["claim"]: r for r in e.claims().collect()}
+    assert got["Maya Lin likes green tea from Oslo."]["memory_state"] == got["Maya Lin dislikes green tea from Oslo."]["memory_state"] == "disputed"
+    assert got["Bob Ross likes dinner at the hotel."]["memory_state"] == "superseded" and got["Bob Ross likes dinner at the hotel."]["valid_to"] and got["Bob Ross no longer likes dinner at the hotel."]["memory_state"] == "active"
+    assert got["Maya Lin works for Acme and is at the office."]["r"] == pytest.approx(0.7) and got["Bob Ross no longer likes dinner at the hotel."]["r"] == 0.0
+    kinds = {r["relation_type"]: r["count"] for r in e.relations().groupBy("relation_type").count().collect()}
+    assert kinds["contradicts"] == 2 and kinds["supersedes"] == 1 and kinds["co_occurs"] >= 2
+    say("s3", "Maya Lin works for Acme and is at the big office.")
+    assert e.claims().count() == 5 and e.verify_ledger().count() == 0
+    ends = e.entities().select("entity_id").unionByName(e.claims().select(F.col("node_id").alias("entity_id")))
+    for end in ("source_id", "target_id"):
+        assert e.relations().join(ends, F.col(end) == F.col("entity_id"), "left_anti").count() == 0
+    e.forget("Bob Ross")
+    ends = e.entities().select("entity_id").unionByName(e.claims().select(F.col("node_id").alias("entity_id")))
+    assert e.relations().join(ends, F.col("source_id") == F.col("entity_id"), "left_anti").count() == 0 and e.relations().filter("relation_type = 'supersedes'").count() == 0
+
+
+def test_percepts_wait_and_are_taken_by_salience(spark, tmp_path):
+    e = EN.Engine(spark, str(tmp_path / "s"))
+    claims = ["Maya Lin likes green tea from Oslo.", "Bob Ross owns a dog and cooks dinner.", "Zoe Park works for Acme and is at the office."]
+    rows = [(c, c, "turn", i, [0.2, 0.9, 0.5][i]) for i, c in enumerate(claims)]
+    for _ in range(2):
+        e.perceive(spark.createDataFrame(rows, "claim string, evidence string, source_id string, seq long, salience double"), batch="p1")
+    assert e.pending().count() == 3 and e.tick(batch=4) is None
+    assert [r["claim"] for r in e.tick(batch=2).collect()] and {r["claim"] for r in e.claims().collect()} == set(claims[1:]) and e.pending().count() == 1
+    assert len(e.flush()) == 1 and e.pending().count() == 0 and e.claims().count() == 3 and e.verify_ledger().count() == 0
+
+
 def test_two_writers_of_one_place_fail_loudly(spark, tmp_path):
     e = EN.Engine(spark, str(tmp_path / "s"))
     logs.claim_place(spark, f"{e.folder}/ledger", e.tenant, 0, "someone-else")
