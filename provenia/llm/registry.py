@@ -50,7 +50,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find(table(spark, sf_dir, "documents"))
+    found = secrets.find(table(spark, sf_dir, "documents"), vocabulary=tokenizer_path())
     mark = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"] != "guess"), mark), ",")
@@ -95,7 +95,7 @@ ORACLES: dict[str, str] = {
     """,
     "op10_line_dedup": f"""
         WITH lines AS (
-            SELECT doc_id, source, i, trim(line, ' ') AS k, line
+            SELECT doc_id, source, i, trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS k, line
             FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
         ), pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
         hot AS (
