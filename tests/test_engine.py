@@ -15,6 +15,18 @@ from provenia.streaming import buffer
 TEXT = "Maya Lin works for Acme and is at the office. Bob Ross lives in Oslo near the hotel. Été: Maya Lin owns a dog and cooks dinner."
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small_plans(spark):
+    """On a handful of rows compiling code and planning anew cost more than they save."""
+    names = {"spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.fixture(scope="module")
 def store(spark, tmp_path_factory):
     e = EN.Engine(spark, str(tmp_path_factory.mktemp("store")), signer=L.HmacSigner(b"key"))
