@@ -2,14 +2,18 @@
 
 Vectors are quantised to integers. Every batch of candidates becomes an M-tree of pages: the vectors
 of a page lie around its pivot, with their distance to it stored, and pages hang under routing nodes
-with covering radii and stored parent distances. One extra coordinate, sqrt(R^2 - |x|^2), makes the
+with covering radii and stored parent distances. Pivots are spread: each is the point farthest from
+those before it. One extra coordinate, sqrt(R^2 - |x|^2), makes the
 order by Euclidean distance the order by inner product. A query visits pages by their least possible
 distance and stops when that exceeds its k-th best; a page's pivot distance is worked out only if the
 bound from the parent's distance does not rule it out, and within a page only entries that the stored
-distances leave in play are scored, with exact integer arithmetic.
+distances leave in play are scored, with exact integer arithmetic: in doubles where no sum of products
+can pass 2**53, else in 64-bit integers, which scores must fit. Bounds have a slack for rounding.
 
-Queries are taken in blocks of ``BLOCK`` rows, so a broadcast never grows with the table; each block
-meets all candidates, a task keeps k results for each query, and these are merged by a window.
+Queries are taken in blocks of ``BLOCK`` rows, one after the other: a block comes to the driver, is
+broadcast and meets all candidates, a task keeps k results for each query, and these are merged by a
+window and written before the next block. To build the trees of a batch costs about a hundredth of
+what a full block of queries costs there.
 
 Cases: null vectors, vectors with a null or non-finite component and rows of null id take no part;
 vectors of different dimension are not compared; a query's own id is never its result, equal scores
@@ -33,6 +37,10 @@ SCALE = 1024
 PAGE = 256
 BLOCK = 4096
 _EPS = 1e-6
+#: Points of a batch among which pivots are chosen.
+SAMPLE = 2048
+#: Stands for no score yet.
+NONE = np.iinfo(np.int64).min
 
 
 class Tree:
@@ -41,11 +49,12 @@ class Tree:
     def __init__(self, ids: np.ndarray, x: np.ndarray, page: int = PAGE):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        norm = (self.x**2).sum(1)
-        self.reach = float(norm.max()) if len(norm) else 0.0
-        lifted = np.column_stack([self.x, np.sqrt(self.reach - norm)])
-        pages = max(1, -(-len(x) // page))
-        pivots = lifted[:: max(1, len(x) // pages)][:pages]
+        self.real = self.x.astype(np.float64)
+        self.largest = float(np.abs(self.real).max(initial=0))
+        norm = (self.real**2).sum(1)
+        self.reach = float(norm.max(initial=0))
+        lifted = np.column_stack([self.real, np.sqrt(self.reach - norm)])
+        pivots = _spread(lifted[:: max(1, len(x) // SAMPLE)], max(1, -(-len(x) // page)))
         far = _distances(lifted, pivots)
         own = far.argmin(1)
         self.entries, self.parent, keep = [], [], []
@@ -57,8 +66,7 @@ class Tree:
                 self.parent.append(far[rows, k])
         self.pivots = pivots[keep]
         self.radius = np.array([p.max() for p in self.parent])
-        routes = max(1, int(len(self.pivots) ** 0.5))
-        self.routes = self.pivots[:: max(1, len(self.pivots) // routes)][:routes]
+        self.routes = _spread(self.pivots, max(1, int(len(self.pivots) ** 0.5)))
         to = _distances(self.pivots, self.routes)
         self.route = to.argmin(1)
         self.to_route = to[np.arange(len(self.pivots)), self.route]
@@ -66,13 +74,16 @@ class Tree:
 
     def search(self, qid: np.ndarray, q: np.ndarray, top_score: np.ndarray, top_id: np.ndarray) -> int:
         """Improve the running best k of every query in place; returns how many entries were scored."""
-        lifted = np.column_stack([q, np.zeros(len(q))])
-        base = (q**2).sum(1) + self.reach
+        real = q.astype(np.float64)
+        lifted = np.column_stack([real, np.zeros(len(q))])
+        base = (real**2).sum(1) + self.reach
         slack = _EPS * (1 + np.sqrt(base))
+        exact_in_doubles = self.largest * np.abs(real).max(initial=0) * max(1, q.shape[1]) < 2.0**53
 
         def limit(rows):
             # Lowest score still of interest, as a distance; ties are kept.
-            return np.sqrt(np.maximum(0, base[rows] - 2 * top_score[rows, -1])) + slack[rows]
+            least = top_score[rows, -1]
+            return np.where(least == NONE, np.inf, np.sqrt(np.maximum(0, base[rows] - 2 * least.astype(np.float64))) + slack[rows])
 
         route = _distances(lifted, self.routes)
         # Least distance to a page, from the parent's distances alone.
@@ -98,14 +109,24 @@ class Tree:
                 if not some.any():
                     continue
                 entry = self.entries[page][some]
-                # Components are integers below 2^53 / dimension, so the product is exact.
-                score = q[rows] @ self.x[entry].T
-                score[~play[:, some] | (qid[rows][:, None] == self.ids[entry][None, :])] = -np.inf
+                score = (real[rows] @ self.real[entry].T).astype(np.int64) if exact_in_doubles else q[rows] @ self.x[entry].T
+                score[~play[:, some] | (qid[rows][:, None] == self.ids[entry][None, :])] = NONE
                 scored += int(play.sum())
                 _merge(top_score, top_id, rows, score, self.ids[entry])
         return scored
 
 
+def _spread(points: np.ndarray, count: int) -> np.ndarray:
+    """``count`` points at most: first the one farthest from the mean, then always the one farthest from those chosen."""
+    far = _distances(points, points.mean(0)[None, :])[:, 0]
+    chosen = [int(far.argmax())]
+    far = _distances(points, points[chosen])[:, 0]
+    while len(chosen) < count and far.max(initial=0) > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, _distances(points, points[chosen[-1:]])[:, 0])
+    return points[chosen]
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * (a @ b.T)))
 
@@ -117,10 +138,17 @@ def _merge(top_score: np.ndarray, top_id: np.ndarray, rows: np.ndarray, score: n
     names = np.concatenate([top_id[rows], np.broadcast_to(ids, score.shape)], axis=1)
     first = np.argsort(names, axis=1, kind="stable")
     both, names = np.take_along_axis(both, first, 1), np.take_along_axis(names, first, 1)
-    best = np.argsort(-both, axis=1, kind="stable")[:, :k]
+    # Of a stable sort downwards: the smallest integer has no opposite, so places are reversed instead.
+    best = k_first(both, k)
     top_score[rows], top_id[rows] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
 
 
+def k_first(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores of each row, earlier places first among equals."""
+    width = score.shape[1]
+    return (width - 1 - np.argsort(score[:, ::-1], axis=1, kind="stable"))[:, ::-1][:, :k]
+
+
 def _by_dimension(ids: np.ndarray, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     size = vectors.value_lengths().to_numpy(zero_copy_only=False)
@@ -128,7 +156,7 @@ def _by_dimension(ids: np.ndarray, vectors: pa.Array) -> Iterator[tuple[np.ndarr
     start = np.concatenate([[0], np.cumsum(size)])
     for d in np.unique(size):
         rows = np.flatnonzero(size == d)
-        yield ids[rows], flat[start[rows][:, None] + np.arange(d)].reshape(len(rows), int(d)).astype(np.float64)
+        yield ids[rows], flat[start[rows][:, None] + np.arange(d)].reshape(len(rows), int(d)).astype(np.int64)
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -146,6 +174,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
     rows = quantised(vectors, vec_id, vector)
     queries = written(quantised(vectors.filter(is_query), vec_id, vector).dropDuplicates(["id", "v"]), "queries")
     blocks = max(1, -(-queries.count() // block))
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     found = []
     for b in range(blocks):
         table = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
@@ -153,18 +182,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
         own = spark.sparkContext.broadcast(list(_by_dimension(ids, table.column(1))) if len(ids) else [])
 
         def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
-            best = [(qid, q, np.full((len(qid), k), -np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)) for qid, q in own.value]
+            best = [(qid, q, np.full((len(qid), k), NONE), np.full((len(qid), k), np.iinfo(np.int64).max)) for qid, q in own.value]
             for batch in batches:
                 for cid, x in _by_dimension(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)):
                     for qid, q, score, top in best:
                         if q.shape[1] == x.shape[1]:
                             Tree(cid, x).search(qid, q, score, top)
             for qid, _, score, top in best:
-                real = np.isfinite(score)
+                real = score != NONE
                 query = np.broadcast_to(qid[:, None], score.shape)[real]
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(top[real]), pa.array(score[real].astype(np.int64))], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(top[real]), pa.array(score[real])], names=["query_id", "vec_id", "score"])
 
-        found.append(rows.mapInArrow(run, "query_id long, vec_id long, score long"))
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    out = reduce(DataFrame.unionByName, found).withColumn("rank", ranked).filter(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+        block_best = rows.mapInArrow(run, "query_id long, vec_id long, score long").withColumn("rank", ranked).filter(F.col("rank") <= k)
+        found.append(written(block_best, "top-k") if blocks > 1 else block_best)
+        if blocks > 1:
+            own.destroy()
+    return reduce(DataFrame.unionByName, found).select("query_id", "rank", "vec_id", "score")
