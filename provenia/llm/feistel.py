@@ -1,17 +1,19 @@
 """Sharding by a Feistel permutation over global row numbers, in DataFrame operations only.
 
-Rows are numbered 0..n-1 in a fixed order (a mixed bucket of the id, then the id, size and checksum),
-the number is permuted by a keyed Feistel network over Z_a x Z_b with a * b >= n, walking the cycle
-while the image is n or more, and the image p gives shard p mod s and slot p div s. So shard sizes
-differ by one at most, slots have no gaps, and ``locate`` computes the place of a row number, and
-``row_at`` the row number at a place, without any table.
-
-a is chosen among ``SIDES`` candidates from sqrt(n) upwards so that a * b - n is least. A walk meets
-each of those a * b - n images at most once, which bounds its length exactly.
-
-Cases: a null text has size 16 and checksum 0; a null id is numbered like id -1, before it; rows that
-agree in id, size and checksum are interchangeable; an empty table gives an empty table. Only the id
-and text columns are read.
+Rows are numbered 0..n-1 in a fixed order (a hashed bucket, then id, size and checksum), the number is
+permuted by a keyed Feistel network over Z_a x Z_b with a * b >= n, walking the cycle while the image
+is n or more, and the image p gives shard p mod s and slot p div s. So shard sizes differ by one at
+most, slots have no gaps, and ``locate`` computes the place of a row number, and ``row_at`` the row
+number at a place, without any table.
+
+a and b lie within a factor of two of each other, so that every round moves both halves; among up to
+``SIDES`` such a, from sqrt(n) upwards, a * b - n is least. A walk meets each of those a * b - n images
+at most once, which bounds its length exactly.
+
+Cases: a null text has size 16 and checksum 0; null ids come first in their bucket; rows that agree in
+id, size and checksum are interchangeable: they are counted, and dealt over the buckets in chunks, so
+that a row repeated without end is no hot spot; an empty table gives an empty table. Only the id and
+text columns are read.
 """
 
 from __future__ import annotations
@@ -21,12 +23,16 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: A prime below 2**31, so that products of two residues fit a long.
 PRIME = 2147483647
 ROUNDS = 8
 SIDES = 4096
 #: Ranges of row numbers that are sorted apart.
 BUCKETS = 4096
+#: Equal rows that are numbered in one bucket.
+CHUNK = 4096
 
 
 def _key(seed: int, r: int) -> tuple[int, int, int]:
@@ -40,9 +46,9 @@ def _key(seed: int, r: int) -> tuple[int, int, int]:
 
 
 def sides(n: int) -> tuple[int, int]:
-    """a, b with a * b >= n and few images to walk over."""
+    """a, b with a * b >= n, at most a factor of two apart, and few images to walk over."""
     low = max(1, isqrt(max(n - 1, 0)) + 1)
-    a = min(range(low, low + SIDES), key=lambda a: (-(-n // a) * a - n, a))
+    a = min(range(low, min(low + SIDES, max(low + 1, isqrt(2 * n) + 1))), key=lambda a: (-(-n // a) * a - n, a))
     return a, max(1, -(-n // a))
 
 
@@ -126,23 +132,27 @@ def _network(df: DataFrame, source: str, target: str, a: int, b: int, seed: int)
     return df.withColumn(target, F.expr(f"{left} * {b}L + {right}")).drop(left, right, f"{target}_y")
 
 
-def number(rows: DataFrame, order: list[str], buckets: int = BUCKETS) -> tuple[DataFrame, int]:
-    """Add ``row``, 0..n-1 by a mixed bucket of the first column and then ``order``; also n.
+def number(rows: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
+    """Add ``row``, 0..n-1, by a bucket hashed from all columns and then the columns in order; also n.
 
-    The driver gets one count for each bucket, ``buckets`` at most; no task sees more than a bucket
-    at a time, and windows sort with spilling.
+    Equal rows are counted first. The driver gets one count for each bucket, ``buckets`` at most; no
+    task sees more than a bucket at a time, and windows sort with spilling.
     """
-    mixed = F.expr(f"pmod(pmod(coalesce({order[0]}, -1L), {PRIME}L) * 1103515245L + 12345L, {PRIME}L)")
-    rows = rows.withColumn("__bucket", F.pmod(mixed, F.lit(buckets)).cast("int"))
-    counts = {r[0]: r[1] for r in rows.groupBy("__bucket").count().collect()}
+    order = rows.columns
+    groups = written(rows.groupBy(*order).agg(F.count("*").alias("__copies")), "row-groups")
+    chunks = groups.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__copies - 1) div {CHUNK}L"))))
+    chunks = chunks.withColumn("__size", F.least(F.lit(CHUNK), F.col("__copies") - F.col("__chunk") * CHUNK))
+    chunks = chunks.withColumn("__bucket", F.pmod(F.xxhash64(*order, "__chunk"), F.lit(buckets)).cast("int"))
+    counts = {r[0]: r[1] for r in chunks.groupBy("__bucket").agg(F.sum("__size")).collect()}
     starts, n = [], 0
     for k in range(buckets):
         starts.append((k, n))
         n += counts.get(k, 0)
     offsets = rows.sparkSession.createDataFrame(starts, "__bucket int, __start long")
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*(F.asc_nulls_first(c) for c in order)))
-    rows = rows.withColumn("__place", inside).join(F.broadcast(offsets), "__bucket")
-    return rows.withColumn("row", F.col("__start") + F.col("__place") - 1).drop("__bucket", "__start", "__place"), n
+    earlier = Window.partitionBy("__bucket").orderBy(*(F.asc_nulls_first(c) for c in order), "__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).join(F.broadcast(offsets), "__bucket")
+    first = F.col("__start") + F.col("__before")
+    return chunks.select(*order, F.explode(F.sequence(first, first + F.col("__size") - 1)).alias("row")), n
 
 
 def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
@@ -152,7 +162,7 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    rows, n = number(base, ["doc_id", "size", "text_crc32"])
+    rows, n = number(base)
     a, b = sides(n)
     walk = a * b - n
     rows = _network(rows, "row", "__p", a, b, seed)
