@@ -2,7 +2,7 @@
 
 The statistics come from vectorised passes over the bytes of whole texts. Trees are grown on the
 driver from at most ``SAMPLE_ROWS`` labelled rows (a documented bound; the rows with the smallest hash
-of the id), with binned features, logistic loss and a fixed depth, and are flattened into arrays:
+of the id, an id once, with its text of the smallest hash), with binned features, logistic loss and a fixed depth, and are flattened into arrays:
 scoring walks all rows of a batch through a tree one level at a time.
 
 Cases: a null text counts as empty; an empty text gets the score of all-zero statistics; labels that
@@ -202,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     # The chosen rows are ``rows`` at most: an id and a number each.
     sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
+    sample = sample.groupBy("__id", "__y").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
     table = sample.select("__y", "__text").mapInArrow(run, "y double, x array<float>").toArrow()
     if not table.num_rows:
         return grow(np.zeros((0, len(FEATURES))), np.zeros(0))
