@@ -8,8 +8,8 @@ exact code length is the sum over its bytes, and the language with the shortest
 Texts are reduced to words of letters (ASCII letters in lower case, Latin-1 letters likewise, other
 non-ASCII bytes as they are), joined by one space and closed by a newline.
 
-The classifier is fitted on a documented bound of about ``ROWS`` texts for each language, chosen by
-the hash of the id; the code lengths of all byte strings seen there are worked out beforehand for
+The classifier is fitted on a documented bound of about ``ROWS`` texts and ``BYTES`` bytes for each
+language, chosen by the hash of id and text; the code lengths of all byte strings seen there are worked out beforehand for
 all languages, those of unseen ones when they occur.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; equal code lengths go to the
@@ -33,6 +33,7 @@ from .ctw import _grams
 
 ORDER = 4
 ROWS = 2000
+BYTES = 16 << 20
 #: Bytes that end a word: ASCII other than letters.
 _BREAK = np.ones(256, bool)
 _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
@@ -110,17 +111,17 @@ class PpmModel:
         return np.add.reduceat(bits, offsets[:-1], axis=0, dtype=np.float64)
 
 
-def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS) -> PpmModel:
-    """Statistics from about ``rows`` texts of each language, chosen by the hash of the id."""
+def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS, size: int = BYTES) -> PpmModel:
+    """Statistics from about ``rows`` texts and ``size`` bytes of each language at most, chosen by the hash of id and text."""
     base = train.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    counts = sorted((r["lang"], r["count"]) for r in base.groupBy("lang").count().collect())
-    model = PpmModel([x for x, _ in counts])
+    counts = sorted((r["lang"], r["n"], r["size"]) for r in base.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect())
+    model = PpmModel([x for x, _, _ in counts])
     if not counts:
         return model
     chosen = F.lit(False)
-    for x, n in counts:
-        rate = min(1 << 20, -(-(rows << 20) // n))
-        chosen = chosen | ((F.col("lang") == x) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate))
+    for x, n, bytes_ in counts:
+        rate = min(1 << 20, -(-(rows << 20) // n), -(-(size << 20) // max(bytes_, 1)))
+        chosen = chosen | ((F.col("lang") == x) & (F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < rate))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
