@@ -37,7 +37,7 @@ from .bytetext import BYTE_VALUE, HashIndex, mix64
 from .common import slices, strings
 
 #: Chunks of text between white space that a worker remembers; when full, it starts afresh.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 400_000
 _SPACES = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACE_RUN = re.compile(f"[{_SPACES}]+")
 #: What str.split() takes for white space and the tokenizer does not.
