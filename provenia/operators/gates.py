@@ -164,6 +164,29 @@ def slot_of(claim: Column, evidence: Column) -> Column:
     return F.coalesce(*[F.when(both(c), F.lit(s)) for c, s in cues])
 
 
+def locate(span: Column, evidence: Column) -> Column:
+    """struct<start, end, span> (code points, end exclusive) where a span stands in the evidence, case and white space apart, at word borders; null where it does not."""
+    words = F.transform(F.filter(F.split(F.trim(span), r"\s+"), lambda t: t != ""), lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}_])", r"\\$1"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), F.array_join(words, r"\s+"), F.lit(r"(?![\p{L}\p{N}_])"))
+    found = F.regexp_substr(evidence, F.when(F.size(words) > 0, pattern))
+    start = F.regexp_instr(evidence, F.when(F.size(words) > 0, pattern)) - 1
+    return F.when(found.isNotNull(), F.struct(start.alias("start"), (start + F.length(found)).alias("end"), found.alias("span")))
+
+
+def admit_slot(slot: Column, span: Column, evidence: Column) -> Column:
+    """struct<slot, span, start, end, reason>: a proposed slot and span, kept only if the slot is known and the span stands in the evidence.
+
+    Reasons: no_proposal, slot_not_in_vocabulary, span_empty, span_not_contained, typed.
+    """
+    name, at = F.lower(F.trim(slot)), locate(span, evidence)
+    reason = (
+        F.when(F.coalesce(slot, F.lit("")) == "", "no_proposal").when(F.coalesce(span, F.lit("")) == "", "no_proposal").when(~name.isin(*V.SLOTS), "slot_not_in_vocabulary")
+        .when(F.trim(span) == "", "span_empty").when(at.isNull(), "span_not_contained").otherwise("typed")
+    )
+    kept = lambda c: F.when(reason == "typed", c)
+    return F.struct(kept(name).alias("slot"), kept(at["span"]).alias("span"), kept(at["start"]).alias("start"), kept(at["end"]).alias("end"), reason.alias("reason"))
+
+
 def checks(proposals: DataFrame, claim: str = "claim", evidence: str = "evidence") -> DataFrame:
     """Proposals with subject_ok, order_ok, numerals_ok, predicate_ok and ``reason`` (null: admissible).
 

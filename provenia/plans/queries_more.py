@@ -98,6 +98,22 @@ def slot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templated(spark, sf_dir).select("node_id", G.slot_of(F.col("claim"), F.col("claim")).alias("slot"))
 
 
+@query(
+    f"""WITH {_C}, p AS (SELECT node_id, claim, CASE seq % 6 WHEN 0 THEN ' Employer' WHEN 1 THEN 'pet' WHEN 2 THEN 'shoe_size' WHEN 3 THEN 'pet' WHEN 4 THEN NULL ELSE 'pet' END AS slot,
+            CASE seq % 6 WHEN 0 THEN 'works for' WHEN 1 THEN 'a dog' WHEN 2 THEN 'a dog' WHEN 3 THEN 'ow' WHEN 4 THEN 'a dog' ELSE '  ' END AS span, seq % 6 AS k FROM c),
+        a AS (SELECT node_id, claim, lower(trim(slot)) AS name, span, k, instr(lower(claim), span) AS place FROM p),
+        r AS (SELECT *, CASE k WHEN 2 THEN 'slot_not_in_vocabulary' WHEN 4 THEN 'no_proposal' WHEN 5 THEN 'span_empty' ELSE CASE WHEN k <> 3 AND place > 0 THEN 'typed' ELSE 'span_not_contained' END END AS reason FROM a)
+        SELECT node_id, reason, CASE WHEN reason = 'typed' THEN name END AS slot, CASE WHEN reason = 'typed' THEN span END AS span, CASE WHEN reason = 'typed' THEN CAST(place - 1 AS INTEGER) END AS start FROM r"""
+)
+def predicate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed slots and spans: kept, unknown, empty, not in the evidence (also as a part of a word), or none."""
+    k = F.col("seq") % 6
+    slot = F.when(k == 0, " Employer").when(k == 2, "shoe_size").when(k != 4, "pet")
+    span = F.when(k == 0, "WORKS  for").when(k == 3, "ow").when(k == 5, "  ").otherwise("a dog")
+    a = templated(spark, sf_dir).select("node_id", G.admit_slot(slot, span, F.col("claim")).alias("a"))
+    return a.select("node_id", "a.reason", "a.slot", "a.span", "a.start")
+
+
 @query(
     f"""WITH {S.PARTS}, h AS (SELECT {S.raw('part')} AS t FROM parts)
         SELECT CASE WHEN list_has_any(t, {S.q(*[w for w, p in V.HEDGES if p == 0.4])}) THEN 0.4::DOUBLE WHEN list_has_any(t, {S.q(*[w for w, p in V.HEDGES if p == 0.65])}) THEN 0.65::DOUBLE ELSE 0.85::DOUBLE END AS probability, count(*) AS sentences FROM h GROUP BY 1"""

@@ -546,12 +546,16 @@ def canonical_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
 
 
-@query("SELECT s_suppkey, s_name FROM supplier")
+@query("SELECT s_suppkey, true AS sealed, CASE WHEN s_suppkey % 3 = 0 THEN '[erased]' ELSE s_name END AS s_name, '[erased]' AS by_another FROM supplier")
 def encryption_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names are encrypted under each supplier's key and read back."""
+    """Names are encrypted under each supplier's key and read back; a shredded or another's key opens nothing."""
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_suppkey").cast("string").alias("subject"))
     keys = rows.select("subject", F.unhex(F.sha2("subject", 256)).alias("key"))
-    return L.decrypt(L.encrypt(rows, keys, ["s_name"]), keys, ["s_name"]).select("s_suppkey", "s_name")
+    shut = L.encrypt(rows, keys, ["s_name"])
+    sealed = shut.join(rows.select("s_suppkey", F.col("s_name").alias("plain")), "s_suppkey").select("s_suppkey", (F.col("s_name").startswith("enc2:") & ~F.col("s_name").contains(F.col("plain"))).alias("sealed"))
+    own = L.decrypt(shut, keys.filter("cast(subject as long) % 3 != 0"), ["s_name"]).select("s_suppkey", "s_name")
+    other = L.decrypt(shut, keys.withColumn("key", F.unhex(F.sha2(F.concat("subject", F.lit("x")), 256))), ["s_name"]).select("s_suppkey", F.col("s_name").alias("by_another"))
+    return sealed.join(own, "s_suppkey").join(other, "s_suppkey")
 
 
 @query(
