@@ -71,6 +71,22 @@ def compress(claims: DataFrame, frozen: DataFrame, significant: DataFrame, propo
     return made, edges, edges.select(F.col("target_id").alias("node_id")).distinct()
 
 
+#: How many claims a turn freezes, and how many reflections and summaries it makes.
+FREEZE_BUDGET, REFLECT_BUDGET, COMPRESS_BUDGET = 8, 1, 1
+
+
+def turn(claims: DataFrame, significant: DataFrame, proposer: Proposer, earlier: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One turn over the store, in this order: freeze, reflect, compress.
+
+    ``claims`` have ``prior`` (significance) too. What is frozen now is spared by the compression of the
+    same turn. Gives ``frozen`` (node_id), ``nodes`` and ``edges`` to add, and ``superseded`` (node_id).
+    """
+    frozen = M.freeze(claims, FREEZE_BUDGET).select("node_id")
+    made, edges = reflect(claims, proposer, earlier, REFLECT_BUDGET)
+    short, more, gone = compress(claims, frozen, significant, proposer, COMPRESS_BUDGET)
+    return {"frozen": frozen, "nodes": made.unionByName(short), "edges": edges.unionByName(more), "superseded": gone}
+
+
 def quoting_proposer(groups: DataFrame) -> DataFrame:
     """A proposer without a model: repeats the first member. A stand-in where none is configured."""
     return groups.select("domain", "members", F.get("members", F.lit(0))["claim"].alias("text"), F.lit(0.9).alias("confidence"))

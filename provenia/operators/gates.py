@@ -164,6 +164,19 @@ def slot_of(claim: Column, evidence: Column) -> Column:
     return F.coalesce(*[F.when(both(c), F.lit(s)) for c, s in cues])
 
 
+def is_personality(claim: Column) -> Column:
+    """A claim about character, which no conduct can ground."""
+    return T.contains_any(F.lower(claim), V.PERSONALITY_MARKERS)
+
+
+def evidence_grounded(evidence: Column, text: Column, least: float | None = None) -> Column:
+    """The evidence stands in the text word for word; with ``least``, that share of its content words does (0.8 is usual)."""
+    if least is None:
+        return text.contains(evidence)
+    own = T.content_set(evidence)
+    return (F.size(own) > 0) & (T.coverage(own, T.content_set(text)) >= least)
+
+
 def locate(span: Column, evidence: Column) -> Column:
     """struct<start, end, span> (code points, end exclusive) where a span stands in the evidence, case and white space apart, at word borders; null where it does not."""
     words = F.transform(F.filter(F.split(F.trim(span), r"\s+"), lambda t: t != ""), lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}_])", r"\\$1"))

@@ -55,6 +55,15 @@ def decayed(r0: Column, created: Column, last: Column, turn: Column, polarity: C
     return F.when((r0 >= CORE) | frozen | (idle <= 0), r0).otherwise(F.greatest(floor, r))
 
 
+def significance_weight(r: Column, prior: Column) -> Column:
+    return r * (1 + prior)
+
+
+def synthesis_candidates(claims: DataFrame) -> DataFrame:
+    """Active claims other than inferences that are HOT or above, the strongest first, ties by id."""
+    return claims.filter((F.col("memory_state") == "active") & (F.col("node_type") != "inference") & (F.col("r") >= HOT)).orderBy(F.desc("r"), "node_id")
+
+
 def significance_prior(grounding: Column, causes: Column) -> Column:
     return 0.5 * grounding + 0.3 * F.least(causes, F.lit(3)) / 3
 

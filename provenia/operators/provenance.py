@@ -51,12 +51,21 @@ def verify(receipts: DataFrame, sources: DataFrame, quote: str = "evidence") ->
     return out.withColumn("outcome", outcome).drop("__source", "__hash")
 
 
+# Kinds of origin, what is computed from the bytes, and what a caller declares.
+ORIGIN_KINDS = ("conversation", "file", "url", "api", "user_submitted", "unknown")
+ATTESTED, DECLARED = ("source_id", "doc_hash", "byte_length"), ("origin", "origin_kind")
+
+
+def disclosure(records: DataFrame) -> DataFrame:
+    """Registrations with what of them is attested and what is only declared."""
+    return records.withColumns({"attested": F.lit(", ".join(ATTESTED)), "declared": F.lit(", ".join(DECLARED))})
+
+
 def register(documents: DataFrame, origin: str = "undeclared", kind: str = "unknown") -> DataFrame:
     """source_id, doc_hash, byte_length and declared origin fields of documents (source_id, text)."""
-    kinds = ("file", "web", "conversation", "api")
     return documents.select(
         "source_id", "text", doc_hash(F.col("text")).alias("doc_hash"), F.octet_length("text").cast("long").alias("byte_length"),
-        F.coalesce(F.nullif(F.lit(origin), F.lit("")), F.lit("undeclared")).alias("origin"), F.lit(kind if kind in kinds else "unknown").alias("origin_kind"),
+        F.coalesce(F.nullif(F.lit(origin), F.lit("")), F.lit("undeclared")).alias("origin"), F.lit(kind if kind in ORIGIN_KINDS else "unknown").alias("origin_kind"),
     )
 
 

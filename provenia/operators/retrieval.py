@@ -70,6 +70,19 @@ def vocabulary(claims: DataFrame) -> DataFrame:
     return claims.select(F.explode(F.array_distinct(terms)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
+def scoped_vocabulary(claims: DataFrame, claim_entity: DataFrame) -> DataFrame:
+    """Document frequency of every word over the claims of each entity: entity_id, token, df."""
+    words = claims.select("node_id", F.explode(F.array_distinct(T.gate_tokens(F.col("normalized")))).alias("token"))
+    return claim_entity.select("node_id", "entity_id").distinct().join(words, "node_id").groupBy("entity_id", "token").agg(F.count("*").alias("df"))
+
+
+def slot_counts(claims: DataFrame, claim_entity: DataFrame) -> DataFrame:
+    """Typed claims by slot, in the whole store (entity_id null) and by entity."""
+    typed = claims.filter("slot is not null").select("node_id", "slot")
+    own = claim_entity.select("node_id", "entity_id").distinct().join(typed, "node_id").groupBy("entity_id", "slot").agg(F.count("*").alias("claims"))
+    return own.unionByName(typed.groupBy("slot").agg(F.count("*").alias("claims")).withColumn("entity_id", F.lit(None).cast("string")))
+
+
 def status(tokens: DataFrame, vocab: DataFrame, n_docs: int | Column, cap: float = DF_CAP) -> DataFrame:
     """tokens (key columns and ``token``) with grounded, non_discriminative or ungrounded, by the word or, failing it, a form of it."""
     keys = [c for c in tokens.columns]

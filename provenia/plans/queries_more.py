@@ -9,10 +9,11 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import gates as G
 from ..operators import graph as GR
+from ..operators import memory as M
 from ..operators import provenance as P
 from ..operators import retrieval as RT
 from . import sqltext as S
-from .inputs import parts, table, templated, templated_sql
+from .inputs import PROPOSALS, parts, proposals, table, templated, templated_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -183,6 +184,38 @@ def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RT.some_entities(table(spark, sf_dir, "nation").select(F.col("n_name").alias("canonical_name")))
 
 
+@query(f"WITH {_C} SELECT node_id, round(r * (1 + 0.5 * r + 0.3 * least(seq % 4, 3) / 3), 6) AS weight FROM c WHERE memory_state = 'active' AND node_type <> 'inference' AND r >= 0.5")
+def synthesis_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that a synthesis may build on, weighted by what they mean."""
+    c = M.synthesis_candidates(templated(spark, sf_dir))
+    return c.select("node_id", F.round(M.significance_weight(F.col("r"), M.significance_prior(F.col("r"), F.col("seq") % 4)), 6).alias("weight"))
+
+
+@query(f"WITH {_C}, t AS (SELECT DISTINCT b.entity_id, b.node_id, unnest({S.gate('claim')}) AS token FROM c JOIN b USING (node_id)) SELECT entity_id, token, count(*) AS df FROM t GROUP BY ALL")
+def subject_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each entity's claims use a word."""
+    c = templated(spark, sf_dir)
+    return RT.scoped_vocabulary(c.select("node_id", T.normalize(F.col("claim")).alias("normalized")), _bridge(c))
+
+
+@query(f"WITH {_C}, o AS (SELECT entity_id, slot FROM c JOIN b USING (node_id) WHERE slot IS NOT NULL UNION ALL SELECT NULL, slot FROM c WHERE slot IS NOT NULL) SELECT entity_id, slot, count(*) AS claims FROM o GROUP BY ALL")
+def slot_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed claims by slot, in all and by entity."""
+    c = templated(spark, sf_dir)
+    return RT.slot_counts(c, _bridge(c))
+
+
+@query(
+    f"""WITH {S.PARTS}, {PROPOSALS}, t AS (SELECT variant, evidence, claim, list_distinct({S.content('claim')}) AS own, {S.content('evidence')} AS whole FROM proposals)
+        SELECT variant, count(*) FILTER (contains(evidence, claim)) AS verbatim, count(*) FILTER (len(own) > 0 AND len(list_intersect(own, whole))::DOUBLE / len(own) >= 0.8) AS mostly FROM t GROUP BY variant"""
+)
+def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perturbed sentences held against their originals, word for word and by content."""
+    p = proposals(spark, sf_dir)
+    own, text = F.col("claim"), F.col("evidence")
+    return p.groupBy("variant").agg(F.count_if(G.evidence_grounded(own, text)).alias("verbatim"), F.count_if(G.evidence_grounded(own, text, 0.8)).alias("mostly"))
+
+
 # --- read path ---------------------------------------------------------------------------------------------------------
 
 _ASKED = f"""q AS (SELECT c_custkey AS question_id, {_NAME} AS name, (c_custkey // 20) % 3 AS kind, CASE (c_custkey // 20) % 3 WHEN 0 THEN concat('Which tea did ', {_NAME}, ' drink last month?')

@@ -206,10 +206,10 @@ def receipt_tamper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.verify(P.bind(claims, sources), changed).groupBy("outcome").agg(F.count("*").alias("receipts"))
 
 
-@query("SELECT doc_id AS source_id, 'sha256:' || sha256(text) AS doc_hash, strlen(text) AS byte_length, 'crawl' AS origin, 'web' AS origin_kind FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id AS source_id, 'sha256:' || sha256(text) AS doc_hash, strlen(text) AS byte_length, 'crawl' AS origin, 'url' AS origin_kind, 'source_id, doc_hash, byte_length' AS attested, 'origin, origin_kind' AS declared FROM documents WHERE text IS NOT NULL")
 def source_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("source_id"), "text")
-    return P.register(docs, "crawl", "web").drop("text")
+    return P.disclosure(P.register(docs, "crawl", "url").drop("text"))
 
 
 @query(

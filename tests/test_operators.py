@@ -269,3 +269,16 @@ def test_semantic_rescue(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, -1.0])], "question_id long, embedding array<double>")
     t = spark.createDataFrame([("pay", [0.9, 0.1]), ("pet", [0.0, 1.0])], "term string, embedding array<double>")
     assert [(r["question_id"], r["term"]) for r in RT.semantic_rescue(q, t).collect()] == [(1, "pay")]
+
+
+def test_a_turn_freezes_reflects_and_compresses(spark):
+    """What is frozen in a turn is spared by its compression; claims about character are marked."""
+    from provenia.operators import consolidation as C
+
+    rows = [(f"n{i}", f"Maya cooks dinner number {i} with tea", "state", ["food"], "active", 0.1, 0.9 if i == 0 else 0.0) for i in range(6)]
+    claims = spark.createDataFrame(rows, "node_id string, claim string, node_type string, domains array<string>, memory_state string, r double, prior double")
+    out = C.turn(claims, claims.filter("false").select("node_id"), C.quoting_proposer)
+    assert [r["node_id"] for r in out["frozen"].collect()] == ["n0"] and {r["node_type"] for r in out["nodes"].collect()} == {"reflection", "summary"}
+    assert {r["node_id"] for r in out["superseded"].collect()} == {f"n{i}" for i in range(1, 6)}
+    got = spark.createDataFrame([("Maya is lazy",), ("Maya likes tea",)], "c string").select(G.is_personality(F.col("c")).alias("p")).collect()
+    assert [r["p"] for r in got] == [True, False]
