@@ -2,7 +2,7 @@
 
 The statistics come from vectorised passes over the bytes of whole texts. Trees are grown on the
 driver from at most ``SAMPLE_ROWS`` labelled rows (a documented bound; the rows with the smallest hash
-of the id, an id once, with its text of the smallest hash), with binned features, logistic loss and a fixed depth, and are flattened into arrays:
+of the id, an id once, with its statistics of the smallest hash), with binned features, logistic loss and a fixed depth, and are flattened into arrays:
 scoring walks all rows of a batch through a tree one level at a time.
 
 Cases: a null text counts as empty; an empty text gets the score of all-zero statistics; labels that
@@ -197,13 +197,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for y, x in _matrix(batches):
-            yield pa.RecordBatch.from_arrays([y, pa.array(list(x), pa.list_(pa.float32()))], names=["y", "x"])
+        for batch in batches:
+            at = 0
+            for ids, x in _matrix(iter([batch.select([0, 2])])):
+                yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(at, len(x)), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "y", "x"])
+                at += len(x)
 
-    # The chosen rows are ``rows`` at most: an id and a number each.
+    # The chosen rows are ``rows`` at most: an id and a number each. What is gathered are statistics, one row for each id.
     sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
-    sample = sample.groupBy("__id", "__y").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
-    table = sample.select("__y", "__text").mapInArrow(run, "y double, x array<float>").toArrow()
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    each = sample.select("__id", "__y", "__text").mapInArrow(run, f"id {id_type}, y double, x array<float>")
+    table = each.groupBy("id").agg(F.min_by(F.struct("y", "x"), F.xxhash64("x")).alias("s")).select("s.y", "s.x").toArrow()
     if not table.num_rows:
         return grow(np.zeros((0, len(FEATURES))), np.zeros(0))
     y = table.column("y").to_numpy()
