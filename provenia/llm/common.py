@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,3 +78,12 @@ def slices(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         end = min(max(end, start + 1), rows)
         yield start, end
         start = end
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on from stage to stage, and their allocators keep what earlier ones took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -48,7 +48,7 @@ NEIGHBOURS = (1, None)
 #: Components of a region up to which their members are paired as rows.
 CROWD = 16
 #: Bytes of signatures and sets in a block of a crowd.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Share of equal signature values below which a pair is not confirmed; 0.8 lies over five standard deviations above.
 SIGNATURE = 0.6
 #: Candidate ids of this many bytes at most are broadcast to pick texts; beyond that a join does it.

@@ -35,7 +35,7 @@ MATCH = 4
 COVERAGE = 0.5
 BLOCK_BYTES = 16 << 20
 #: Seed hits of a text and an item that are expanded at once.
-HITS = 1 << 20
+HITS = 1 << 18
 _BREAK = np.ones(256, bool)
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
 _ROLL = np.uint64(0x9E3779B97F4A7C15)

@@ -554,7 +554,7 @@ def test_tiling_equals_the_naive_one(text, item, hits):
     raw = " ".join(map(str, text)).encode()
     tiling.HITS = hits
     _, found = tiling._covered(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), items, 1e-9)
-    tiling.HITS = 1 << 20
+    tiling.HITS = 1 << 18
     size = min(3, len(item))
     marked = _naive_tiles(text, item, size) if item else 0
     assert [round(c * len(item)) for c, _, _ in found.get(0, [])] == ([marked] if marked else [])
