@@ -27,6 +27,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import BYTE_VALUE, HashIndex, mix64
-from .common import slices, strings
+from .common import release_memory, slices, strings
 
 #: Chunks of text between white space that a worker remembers; when full, it starts afresh.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 _SPACES = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACE_RUN = re.compile(f"[{_SPACES}]+")
 #: What str.split() takes for white space and the tokenizer does not.
@@ -108,7 +109,9 @@ class Bpe:
         model, steps = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.token = {i: t for t, i in self.vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        named = {i: t for t, i in self.vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        self.one = list(range(max(named) + 1))
+        self.token, self.number = [named.get(i, "") for i in self.one], [str(i) for i in self.one]
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.added_pattern = re.compile("|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True))) if self.added else None
         pattern = steps[0]["pattern"]["Regex"].replace(r"\s", _SPACES)
@@ -145,7 +148,8 @@ class Bpe:
             if len(t) > 1:
                 self.reach_of[t[0] << 8 | t[1]] = max(self.reach_of[t[0] << 8 | t[1]], len(t))
         self.known_pairs: dict[int, bool] = {}
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        # Pieces with their token ids; the numbers are those of one list, so that each exists once.
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def _bytes(self, last: bool) -> dict[bytes, int]:
         """Entries by their bytes: those that bear the suffix, or those that do not."""
@@ -382,9 +386,9 @@ class Bpe:
         return [p for p in _SPACE_RUN.split(text) if p] if _ODD.search(text) else text.split()
 
     def normal(self, piece: str) -> str:
-        """NFC and lower case; no white space composes with its neighbours, so pieces can be normalised apart."""
+        """NFC and lower case; no white space composes with its neighbours, so pieces can be normalised apart. Added tokens stay as they are."""
         if piece.isascii():
-            return piece.lower()
+            return piece if piece[0] == " " else piece.lower()
         if self.unknown.search(piece):
             return self._library_form(piece)
         if not unicodedata.is_normalized("NFC", piece):
@@ -406,33 +410,40 @@ class Bpe:
         if len(self.cache) + len(new) > CACHE_CHUNKS:
             self.cache.clear()
             new = list(pieces)
-        split = [[p] if p[0] == " " else self.split.findall(self.normal(p)) for p in new]
+        # A piece of letters alone is a word; letters that this Python does not know are no letters to it.
+        split = [[p] if p.isalpha() or p[0] == " " else self.split.findall(p) for p in map(self.normal, new)]
         words = list({w for s in split for w in s if w[0] != " "})
-        token = self.token
-        made = {w: (len(ids), " ".join(map(str, ids)), " ".join([token[i] for i in ids])) for w, ids in zip(words, self.words(words))}
-        made.update({" " + a: (1, str(i), token[i]) for a, i in self.added.items()})
+        one = self.one
+        made = {w: tuple([one[i] for i in ids]) for w, ids in zip(words, self.words(words))}
+        made.update({" " + a: (one[i],) for a, i in self.added.items()})
         cache = self.cache
         for p, s in zip(new, split):
-            cache[p] = made[s[0]] if len(s) == 1 else self._joined([made[w] for w in s])
-        # What the memory holds has no cycles: the collector need not walk it again and again.
-        gc.freeze()
+            cache[p] = made[s[0]] if len(s) == 1 else tuple([i for w in s for i in made[w]])
 
-    @staticmethod
-    def _joined(own: list[tuple[int, str, str]]) -> tuple[int, str, str]:
-        """Neighbouring pieces as one; pieces without tokens leave no blank."""
-        own = [x for x in own if x[0]] if (0, "", "") in own else own
-        if not own:
-            return 0, "", ""
-        n, ids, decoded = zip(*own)
-        return sum(n), " ".join(ids), " ".join(decoded)
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """For each text: number of tokens, decimal ids joined by a blank, decoded text."""
+    def ids(self, texts: list[str]) -> Iterator[list[int]]:
+        """Token ids of each text."""
         cut = [self.pieces(t) for t in texts]
-        self.learn(set().union(*cut) if cut else set())
+        # Nothing here makes cycles: the collector would only walk what is about to be kept or freed.
+        gc.disable()
+        try:
+            self.learn(set().union(*cut) if cut else set())
+        finally:
+            gc.freeze()
+            gc.enable()
         cache = self.cache
         for pieces in cut:
-            yield self._joined([cache[p] for p in pieces])
+            yield list(chain.from_iterable([cache[p] for p in pieces]))
+
+    def decimal(self, ids: list[int]) -> str:
+        return " ".join([self.number[i] for i in ids])
+
+    def decode(self, ids: list[int]) -> str:
+        return " ".join([self.token[i] for i in ids])
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """For each text: number of tokens, decimal ids joined by a blank, decoded text."""
+        for ids in self.ids(texts):
+            yield len(ids), self.decimal(ids), self.decode(ids)
 
 
 _LOADED: dict[int, Bpe] = {}
@@ -457,16 +468,17 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             _LOADED[key] = Bpe(*spec.value)
         bpe = _LOADED[key]
         for batch in batches:
+            release_memory()
             data, offsets = strings(batch.column(1))
             for i, j in slices(offsets):
                 raw = data[offsets[i] : offsets[j]].tobytes()
                 ends = (offsets[i : j + 1] - offsets[i]).tolist()
                 out: dict[str, list] = {c: [] for c in columns}
-                for n, ids, decoded in bpe.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]):
+                for ids in bpe.ids([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]):
                     for c in columns:
                         out[c].append(
-                            n if c == "n_tokens" else [int(x) for x in ids.split()] if c == "ids" else decoded if c == "decoded"
-                            else hashlib.sha256((ids if c == "ids_sha256" else decoded).encode()).hexdigest()
+                            len(ids) if c == "n_tokens" else ids if c == "ids" else bpe.decode(ids) if c == "decoded"
+                            else hashlib.sha256((bpe.decimal(ids) if c == "ids_sha256" else bpe.decode(ids)).encode()).hexdigest()
                         )
                 types = {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "string": pa.string()}
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(out[c], types[COLUMNS[c]]) for c in columns)], names=[doc_id, *columns])
