@@ -9,14 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .collapse import collapse
+from . import collapse as C
 from .ledger import canonical
 
 
-#: Tokens of a query that are joined before it is known how many more can matter.
-FIRST = 2
-
-
 def valid_at(ts: Column | str | None) -> Column:
     """Validity on ISO text: open or later than ``ts``."""
     return F.col("valid_to").isNull() if ts is None else F.col("valid_to").isNull() | (F.col("valid_to") > ts)
@@ -75,38 +71,21 @@ def all_before_edges(claims: DataFrame, claim_entity: DataFrame) -> DataFrame:
 def related(claims: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """For each query row (query_id, text, domains) the k active claims of a shared domain with the highest white-space Jaccard.
 
-    Claims that no query can tell apart are one group with its k first members. Queries meet groups in
-    equi-joins on tokens, the ``FIRST`` rarest of each query first: the k-th best score so found tells how
-    many tokens a better group must share, so of the commoner tokens only as many are joined as a group
-    that misses all the others could still win with.
+    Claims that share only words of many queries are met as groups, by kinds of queries (``collapse``).
     """
-    q = queries.select("query_id", T.space_tokens(F.col("text")).alias("t"), F.col("domains").alias("qd")).withColumn("nq", F.size("t"))
-    c = claims.filter("memory_state = 'active' and size(domains) > 0").select("node_id", T.space_tokens(F.col("claim")).alias("t"), F.array_sort("domains").alias("cd")).withColumn("nc", F.size("t"))
-    groups, members = collapse(c, q.select(F.explode("t").alias("token")).distinct(), ["nc", "cd"], [], k)
-    posted = groups.select("gid", F.explode("asked").alias("token"))
-    df = posted.groupBy("token").agg(F.count("*").alias("df"))
-    rare = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "token"))
-    asked = q.select("query_id", "nq", F.explode("t").alias("token")).join(df, "token").withColumn("place", rare)
-
-    def scored(tokens: DataFrame) -> DataFrame:
-        pairs = tokens.select("query_id", "token").join(posted, "token").select("query_id", "gid").distinct()
-        pairs = pairs.join(q, "query_id").join(groups.select("gid", "asked", "nc", "cd"), "gid").filter(F.arrays_overlap("qd", "cd"))
-        both = F.size(F.array_intersect("t", "asked"))
-        return pairs.select("query_id", "gid", (both / (F.col("nq") + F.col("nc") - both)).alias("score"))
-
-    def best(pairs: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "gid"))
-        return pairs.withColumn("place", place).filter(F.col("place") <= k)
-
-    first = best(scored(asked.filter(F.col("place") <= FIRST)))
-    floor = first.filter(F.col("place") == k).select("query_id", F.col("score").alias("floor"))
-    # A group with none of the rarest places to ``last`` shares nq - last tokens at most; the lack of rounding is made good.
-    last = F.col("nq") - F.ceil(F.coalesce("floor", F.lit(0.0)) * F.col("nq") - 1e-9) + 1
-    more = asked.join(floor, "query_id", "left").filter((F.col("place") > FIRST) & (F.col("place") <= last))
-    pairs = first.drop("place").unionByName(scored(more)).distinct()
-    pairs = best(pairs).drop("place").join(members, "gid")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "node_id", "score")
+    q = queries.select(F.col("query_id").alias("question_id"), T.space_tokens(F.col("text")).alias("f"), F.col("domains").alias("qd")).withColumn("nq", F.size("f"))
+    c = claims.filter("memory_state = 'active' and size(domains) > 0").select("node_id", F.lit(0.0).alias("r"), T.space_tokens(F.col("claim")).alias("f"), F.array_sort("domains").alias("cd")).withColumn("nc", F.size("f"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("qf", "f"))
+        return pairs.filter(F.arrays_overlap("qd", "cd")).withColumn("score", both / (F.col("nq") + F.col("nc") - both))
+
+    common = C.common_features(q)
+    pairs = scored(C.near(q, c, common)).select("question_id", "node_id", "r", "score")
+    if common:
+        kind, members = C.kinds(q, common), C.written(C.group(c, common, ["nc", "cd"], [], k), "members")
+        pairs = pairs.unionByName(C.best_far(scored(C.far(kind, members)), members, kind, F.col("score"), k, "score"))
+    return C.best(pairs, F.col("score"), k, "score").withColumnRenamed("question_id", "query_id")
 
 
 def best_match(clauses: DataFrame, claims: DataFrame, least: float = 0.5) -> DataFrame:
