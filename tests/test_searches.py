@@ -104,6 +104,17 @@ def test_retrieve_and_expand_are_brute_force(data):
         assert more[x["question_id"]] == brute_expand(x, got[x["question_id"]], claims, 3), x
 
 
+@pytest.mark.parametrize("common, windows, screen", [(0, 1, 0), (10**9, 16, 0)])
+def test_filters_do_not_depend_on_what_is_common(data, monkeypatch, common, windows, screen):
+    c, q, bridge, named = data
+    rows = lambda: {tuple(r) for r in RT.retrieve(q.drop("e"), c.drop("e"), bridge, named, 4).select("question_id", "rank", "node_id", F.round("score", 9)).collect()}
+    expected = rows()
+    monkeypatch.setattr(RT.C, "COMMON", common)
+    monkeypatch.setattr(RT.C, "SCREEN", screen)
+    monkeypatch.setattr(RT, "WINDOWS", windows)
+    assert rows() == expected
+
+
 @pytest.fixture(scope="module")
 def many(spark):
     """600 questions that share words with 1,200 claims, each of a subject of its own and one of two places."""
