@@ -132,6 +132,13 @@ def test_retrieve_grows_with_questions_alone(many):
     assert most_rows(RT.retrieve(q.select("question_id", "question"), c, bridge, q.select("question_id", "entity_id"), 5)) <= MOST
 
 
+def test_expand_grows_with_questions_alone(many):
+    q, c, bridge = many
+    named = q.select("question_id", "entity_id")
+    ranked = RT.retrieve(q.select("question_id", "question"), c, bridge, named, 2).cache()
+    assert most_rows(RT.expand(ranked, q.select("question_id", "question"), c, bridge, named, k=2)) <= MOST
+
+
 def test_related_grows_with_queries_alone(many):
     q, c, _ = many
     asked = q.select(F.col("question_id").alias("query_id"), F.expr("concat(entity_id, ' likes tea from somewhere else')").alias("text"), F.array(F.lit("food")).alias("domains"))
