@@ -115,6 +115,26 @@ def test_filters_do_not_depend_on_what_is_common(data, monkeypatch, common, wind
     assert rows() == expected
 
 
+def test_related_and_simple_are_brute_force(data):
+    c, q, _, _ = data
+    c = c.withColumns({"claim": F.col("normalized"), "memory_state": F.lit("active")})
+    claims, asked = c.collect(), q.collect()
+    related, simple = defaultdict(list), defaultdict(list)
+    for r in sorted(GR.related(c, q.select(F.col("question_id").alias("query_id"), F.col("question").alias("text"), "domains"), 4).collect(), key=lambda r: r["rank"]):
+        related[r["query_id"]].append((r["node_id"], round(r["score"], 6)))
+    for r in sorted(RT.simple_score(q.select("question_id", "question"), c, 4, 0.2).collect(), key=lambda r: r["rank"]):
+        simple[r["question_id"]].append((r["node_id"], round(r["score"], 6)))
+    domains = lambda s: {d for d, ws in RT.V.DOMAINS.items() if any(w in s for w in ws)}
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    assert any(related.values()) and any(simple.values())
+    for x in asked:
+        t = set(x["question"].split())
+        own = [(y["node_id"], jaccard(t, set(y["claim"].split()))) for y in claims if set(x["domains"]) & set(y["domains"])]
+        assert related[x["question_id"]] == cut([y for y in own if y[1] > 0], 4), x
+        own = [(y["node_id"], 0.4 * jaccard(t, set(y["claim"].split())) + 0.3 * jaccard(domains(x["question"]), domains(y["claim"])) + 0.3 * y["r"]) for y in claims if y["r"] >= 0.2 and t & set(y["claim"].split())]
+        assert simple[x["question_id"]] == cut(own, 4), x
+
+
 @pytest.fixture(scope="module")
 def many(spark):
     """600 questions that share words with 1,200 claims, each of a subject of its own and one of two places."""
@@ -143,3 +163,8 @@ def test_related_grows_with_queries_alone(many):
     q, c, _ = many
     asked = q.select(F.col("question_id").alias("query_id"), F.expr("concat(entity_id, ' likes tea from somewhere else')").alias("text"), F.array(F.lit("food")).alias("domains"))
     assert most_rows(GR.related(c, asked, 5)) <= MOST
+
+
+def test_simple_score_grows_with_questions_alone(many):
+    q, c, _ = many
+    assert most_rows(RT.simple_score(q.select("question_id", "question"), c, 5)) <= MOST
