@@ -37,15 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import HashIndex, Words, mix64, unique_counts, words
-from .common import crc_mod, drop_written, slices, strings, written
+from .common import crc_mod, drop_written, release_memory, slices, strings, written
 
 DEPTH = 5
 #: Bytes of context that make a branch.
 BRANCH = 3
 #: Rows of branches that are weighed at once, more only where one branch has more.
 BRANCH_ROWS = 1 << 17
-#: Bytes of text whose words and byte strings are looked up, and which are scored, at once.
-BLOCK_BYTES = 64 << 20
+#: Bytes of text whose words and byte strings are looked up, and which one task gets to score, at once.
+BLOCK_BYTES = 32 << 20
+#: Bytes of text that are scored at once: each takes some 40 bytes meanwhile.
+SCORE_BYTES = 1 << 19
 #: Parts of a context of ``BRANCH`` - 1 bytes that lie in different buckets.
 SPREAD = 8
 SMOOTHING = 0.1
@@ -127,6 +129,8 @@ def _counter(depth: int):
                         yield from emit(held)
                         size = 0
         yield from emit(held)
+        held.clear()
+        release_memory()
 
     return count
 
@@ -246,6 +250,8 @@ def _weigher(depth: int, top: int):
         for table in _whole_branches(batches):
             x = _weigh(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy(), depth, top)[0]
             yield pa.RecordBatch.from_arrays([pa.array(x.node.view(np.int64)), *map(pa.array, (x.n0, x.n1, x.weighted))], names=["node", "n0", "n1", "below"])
+            del table, x
+        release_memory()
 
     return run
 
@@ -369,6 +375,7 @@ def _asked(depth: int, buckets: int):
                     own[_GRAM].append(unique_counts(_grams(w, depth)[0])[0])
         for block in list(held):
             yield from emit(block)
+        release_memory()
 
     return run
 
@@ -450,6 +457,8 @@ def _answers(depth: int, above):
                         packed.append(values[k][at[k] : at[k] + len(x)].tobytes())
                         at[k] += len(x)
                     yield pa.RecordBatch.from_arrays([asked.column(3), asked.column(2), asked.column(8), pa.array(packed, pa.binary())], names=["block", "kind", "keys", "values"])
+        held, bucket = [], None
+        release_memory()
 
     return run
 
@@ -462,6 +471,7 @@ def _scorer(depth: int, tokens: int, vocabulary: int):
     scale = np.log10(tokens + SMOOTHING * (vocabulary + 1))
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        release_memory()
         index, value = {}, {}
         for kind, form in ((_TOKEN, np.float64), (_GRAM, np.float32)):
             own = answers.filter(pc.equal(answers.column("kind"), kind))
@@ -470,9 +480,9 @@ def _scorer(depth: int, tokens: int, vocabulary: int):
             index[kind], value[kind] = HashIndex(keys), values[first].astype(np.float64)
         seen, log10 = value[_TOKEN] > 0, np.log10(value[_TOKEN] + SMOOTHING) - scale
         out = []
-        for batch in texts.combine_chunks().to_batches():
+        for batch in texts.to_batches():
             data, offsets = strings(batch.column("text"))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SCORE_BYTES):
                 w = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 docs = j - i
                 grams, at = _grams(w, depth)

@@ -3,18 +3,20 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from provenia.llm import bpe, bytetext, components, ctw, feistel, gbdt, line_dedup, mtree, near_dups, ppm, registry, secrets, tiling
-from provenia.llm.common import written
+from provenia.llm.common import strings, written
 from tests.llm.conftest import TEXTS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -132,6 +134,30 @@ def test_ctw_odd_rows(odd, empty):
     assert ctw.score_documents(empty).count() == 0
 
 
+def test_ctw_scores_a_block_in_little_memory():
+    """A block of 4 MB of text, in two batches, takes less than 50 MB besides its texts; a block ends with the text that reaches 32 MB."""
+    rng = random.Random(5)
+    known = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(2000)]
+    batches = [pa.record_batch([pa.array(range(i, i + 200)), pa.array([" ".join(rng.choices(known, k=2000)) for _ in range(200)])], names=["id", "text"]) for i in (0, 200)]
+    keys, grams = np.array([ctw.END], np.uint64), np.zeros(0, np.uint64)
+    for batch in batches:
+        w = bytetext.words(*strings(batch.column("text")))
+        keys, grams = np.union1d(keys, w.hash), np.union1d(grams, ctw._grams(w, 5)[0])
+    answers = pa.table({"kind": pa.array([0, 1], pa.int32()), "keys": [keys.tobytes(), grams.tobytes()], "values": [np.ones(len(keys)).tobytes(), np.full(len(grams), -1, np.float32).tobytes()]})
+    texts = pa.Table.from_batches(batches)
+    tracemalloc.start()
+    out = ctw._scorer(5, 100, 100)(texts, answers)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column("score").to_pylist() == [-float(n) for n in out.column("bytes").to_pylist()] and out.column("id").to_pylist() == list(range(400))
+    assert most < 50e6
+    size = Counter()
+    for x in ctw._blocks(iter(batches * 10)):
+        for part, n in zip(x.column("part").to_pylist(), x.column("size").to_pylist()):
+            size[part] += n
+    assert len(size) > 1 and max(size.values()) < (32 << 20) + 10_000
+
+
 def test_ctw_beats_the_word_model_on_held_out_texts(spark):
     out = registry.op1_ctw_score(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
