@@ -152,6 +152,15 @@ def test_retrieve_grows_with_questions_alone(many):
     assert most_rows(RT.retrieve(q.select("question_id", "question"), c, bridge, q.select("question_id", "entity_id"), 5)) <= MOST
 
 
+def test_retrieve_reads_the_claims_in_one_job(many):
+    """One job makes what both ways of meeting need of the claims: the result's plan does not come back to them."""
+    q, c, bridge = many
+    out = RT.retrieve(q.select("question_id", "question"), c, bridge, q.select("question_id", "entity_id"), 5)
+    assert out.filter("rank = 1").count() == 600
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "InMemoryRelation" in x and "node_id" in x]
+
+
 def test_expand_grows_with_questions_alone(many):
     q, c, bridge = many
     named = q.select("question_id", "entity_id")
